@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from watchgrid.llm.bpe import op2_bpe
+from watchgrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from watchgrid.llm.packing import op5_packing
 from watchgrid.llm.simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
+    "op5_packing": op5_packing,
+    "op9_exact_dedup": op9_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
