@@ -1,8 +1,8 @@
 """Operator 2: BPE encoding and decoding by dynamic programming over prefixes.
 
 The tokens of a prefix are valid exactly when each neighbouring pair is: when merging the two side by side never
-joins them. So each prefix has one last token, and it is found from shorter prefixes alone: an automaton over the
-vocabulary gives the tokens that end there, and the one that may follow the last token of the prefix before it is
+joins them. So each prefix has one last token, and it is found from shorter prefixes alone: an automaton over
+the vocabulary's suffixes gives the tokens that end there, and the one that may follow the last token of the prefix before it is
 kept. Following those back from the end gives the ids.
 
 Pieces between white space encode on their own; each Python worker remembers a bounded number of them.
@@ -50,7 +50,6 @@ class Encoder:
     """Tables of one vocabulary file, and the encoding and decoding by them."""
 
     def __init__(self, path: str) -> None:
-        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -59,9 +58,10 @@ class Encoder:
         model, letters = spec["model"], byte_letters()
         suffix = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
-        self.names: dict[int, str] = {i: t for t, i in vocab.items()}
+        names = {i: t for t, i in vocab.items()}
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
+        names |= {i: t for t, i in self.special.items()}
+        self.names: list[str] = [names.get(i, "") for i in range(max(names) + 1)]
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = dict.fromkeys(vocab.values(), -1)
@@ -71,14 +71,17 @@ class Encoder:
             self.pair_rank[left, right] = k
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (left, right), k
-        self.matches = ahocorasick.Automaton()
+        # matches tokens backwards from where they end: letter to next state, "" to the token read so far
+        self.matches: dict = {}
         for t, i in vocab.items():
             body, end = (t[: -len(suffix)], END) if t.endswith(suffix) and t != suffix else (t, "")
             raw = "".join(chr(letters[c]) for c in body)
             # a single letter, or a token that its own merges lead to
             if len(body) == 1 or i in self.parts and self.pair_ok(*self.parts[i], self.rank[i]):
-                self.matches.add_word(raw + end, (i, len(raw + end)))
-        self.matches.make_automaton()
+                state = self.matches
+                for c in reversed(raw + end):
+                    state = state.setdefault(c, {})
+                state[""] = i
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}")).findall
         self.splitter = Tokenizer.from_file(path)
@@ -125,26 +128,32 @@ class Encoder:
     def by_prefixes(self, raw: bytes) -> list[int]:
         text = raw.decode("latin-1") + END
         size = len(text)
-        last: list[int] = [-1] * (size + 1)
-        width = [0] * (size + 1)
-        follows = self.follows
-        for end, (token, length) in self.matches.iter(text):
-            end += 1
-            if last[end] >= 0:
-                continue
-            if length < end:
-                before = last[end - length]
-                if before < 0:
+        last, width = [-1] * (size + 1), [0] * (size + 1)
+        follows, matches = self.follows, self.matches
+        for end in range(1, size + 1):
+            state, at = matches, end
+            while at:
+                at -= 1
+                state = state.get(text[at])
+                if state is None:
+                    break
+                token = state.get("")
+                if token is None:
                     continue
-                key = before << 20 | token
-                ok = follows.get(key)
-                if ok is None:
-                    if len(follows) >= REMEMBERED:
-                        follows.clear()
-                    ok = follows[key] = self.pair_ok(before, token)
-                if not ok:
-                    continue
-            last[end], width[end] = token, length
+                if at:
+                    before = last[at]
+                    if before < 0:
+                        continue
+                    key = before << 20 | token
+                    ok = follows.get(key)
+                    if ok is None:
+                        if len(follows) >= REMEMBERED:
+                            follows.clear()
+                        ok = follows[key] = self.pair_ok(before, token)
+                    if not ok:
+                        continue
+                last[end], width[end] = token, end - at
+                break
         ids = []
         while size:
             ids.append(last[size])
@@ -156,6 +165,8 @@ class Encoder:
 
         Beyond the first two Latin blocks the letters of Unicode versions differ; there the library splits.
         """
+        if part.isascii():
+            return [p.encode() for p in self.pieces(part.lower())]
         if max(part) < "ɐ":
             return [p.encode() for p in self.pieces(unicodedata.normalize("NFC", part).lower())]
         plain = self.splitter.normalizer.normalize_str(part)
@@ -164,7 +175,8 @@ class Encoder:
     def chunk(self, raw: bytes) -> bytes:
         """Ids of a stretch without ASCII white space, as unsigned 32-bit integers."""
         ids: list[int] = []
-        for part in self.around.split(raw.decode("utf-8")):
+        text = raw.decode("utf-8")
+        for part in self.around.split(text) if "<|" in text else (text,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
@@ -180,7 +192,7 @@ class Encoder:
             if got is None:
                 got = chunk(w)
                 if len(w) <= 64:
-                    if len(known) >= REMEMBERED:
+                    if len(known) >= 2 * REMEMBERED:
                         known.clear()
                     known[w] = got
             out.append(got)
@@ -188,8 +200,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """Without a decoder of its own the vocabulary's tokens are joined by spaces."""
-        names = self.names
-        return " ".join([names[i] for i in array.array("I", ids)])
+        return " ".join(map(self.names.__getitem__, array.array("I", ids)))
 
 
 @lru_cache(maxsize=2)
