@@ -2,7 +2,7 @@
 
 Each rule looks at a document's statistics and votes good (1), bad (-1) or abstains (0). A generative model takes
 the votes as independent given the hidden quality: each rule has a rate of each vote for good and for bad
-documents, and abstaining says nothing. Expectation-maximisation estimates those rates and the share of good documents from all documents'
+documents. Expectation-maximisation estimates those rates and the share of good documents from all documents'
 votes. The table of distinct vote patterns with their counts is all that it needs, and with R rules that has 3^R
 rows at most, however many documents there are. The posterior probability of good is then a sum of log odds, one
 for each vote, computed in the plan. A document is kept at a posterior of one half or more, unless it fails the
@@ -100,8 +100,9 @@ def votes(s: Column) -> dict[str, Column]:
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, float]]]:
     """Log odds of good before any vote, and for each rule the log odds that each of its votes adds.
 
-    EM starts from the majority of the votes. Rates are smoothed by one document a vote. To abstain is no evidence,
-    and a rule can't turn over: a vote for good never counts against it, nor one for bad in favour.
+    EM starts from the majority of the votes. Rates, of abstaining too, are smoothed by one document a vote. A rule
+    can't turn over: a vote for good never counts against it, nor one for bad in favour. In the odds returned,
+    abstaining counts for a factor of e at most, so that it alone rejects nothing that other rules find good.
     """
     if not patterns:
         return 0.0, []
@@ -113,7 +114,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
         yes = sum(g * n for g, (_, n) in zip(good, patterns))
         prior = math.log((yes + 1) / (total - yes + 1))
         for r in range(rules):
-            for vote in (-1, 1):
+            for vote in (-1, 0, 1):
                 a = sum(g * n for g, (v, n) in zip(good, patterns) if v[r] == vote)
                 b = sum((1 - g) * n for g, (v, n) in zip(good, patterns) if v[r] == vote)
                 odds[r][vote] = math.log((a + 1) / (yes + 3)) - math.log((b + 1) / (total - yes + 3))
@@ -123,7 +124,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
         good = new
         if moved < 1e-9:
             break
-    return prior, odds
+    return prior, [o | {0: max(-1.0, min(1.0, o[0]))} for o in odds]
 
 
 def base_failed(s: Column) -> Column:
