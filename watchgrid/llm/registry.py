@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from watchgrid.llm.bpe import op2_bpe
 from watchgrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from watchgrid.llm.language_id import op10_language_id
 from watchgrid.llm.packing import op5_packing
+from watchgrid.llm.quality_model import op3_quality_model
 from watchgrid.llm.quality_rules import op6_quality_rules
 from watchgrid.llm.simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_quality_model": op3_quality_model,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
 
