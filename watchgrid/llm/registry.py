@@ -11,6 +11,7 @@ from watchgrid.llm.bpe import op2_bpe
 from watchgrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from watchgrid.llm.html_extract import op8_html_extract
 from watchgrid.llm.language_id import op10_language_id
+from watchgrid.llm.language_model import op7_language_model
 from watchgrid.llm.packing import op5_packing
 from watchgrid.llm.quality_model import op3_quality_model
 from watchgrid.llm.quality_rules import op6_quality_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_model": op3_quality_model,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_model": op7_language_model,
     "op8_html_extract": op8_html_extract,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
