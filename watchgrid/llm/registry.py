@@ -13,6 +13,7 @@ from watchgrid.llm.html_extract import op8_html_extract
 from watchgrid.llm.language_id import op10_language_id
 from watchgrid.llm.language_model import op7_language_model
 from watchgrid.llm.packing import op5_packing
+from watchgrid.llm.pii import op4_pii
 from watchgrid.llm.quality_model import op3_quality_model
 from watchgrid.llm.quality_rules import op6_quality_rules
 from watchgrid.llm.simhash import op1_simhash
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_quality_model": op3_quality_model,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_model": op7_language_model,
