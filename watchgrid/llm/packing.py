@@ -15,6 +15,7 @@ any other. Extra columns are ignored. An empty table packs to no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,11 +32,25 @@ from watchgrid.llm.common import materialize, table
 
 SIZE, END_ID = 4096, 1
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
 
 
+#: A special token of the vocabulary.
+BETWEEN = "<|endoftext|>"
+TAIL = re.compile(rb"[a-z][.,]\Z").search
+
+
+def plain(text: bytes) -> bytes:
+    """The text with A to Z lower-cased, as the tokenizer does it, so that fewer words differ.
+
+    Not where that could matter: beside special tokens, whose case counts, or combining marks, which are joined to
+    letters before those are lower-cased.
+    """
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class WordIds:
     """Ids by the tokenizers library; words between ASCII white space encode on their own and are remembered."""
 
@@ -46,22 +61,38 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.word: dict[bytes, bytes] = {}
 
-    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), 64):
-            words = [t.split() for t in texts[at : at + 64]]
-            new = list(set().union(*words) - self.word.keys())
-            if len(self.word) + len(new) > REMEMBERED:
-                self.word.clear()
-                new = list(set().union(*words))
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    self.word[w] = np.array(e.ids, "<u4").tobytes()
-            for w in words:
-                yield b"".join(map(self.word.__getitem__, w))
+    def learn(self, words: list[bytes], at_once: int) -> None:
+        """Encode words, some at once with a special token between them: the library cuts texts there first."""
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        lines = [BETWEEN.join(w.decode() for w in g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)] if len(group) > 1 else [-1, len(ids)]
+            raw = ids.tobytes()
+            self.word.update((w, raw[4 * a + 4 : 4 * b]) for w, a, b in zip(group, cuts, cuts[1:]))
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        words = plain(text).split()
+        try:
+            return b"".join(map(self.word.__getitem__, words))
+        except KeyError:
+            pass
+        if len(self.word) > REMEMBERED:
+            self.word.clear()
+        new = {w for w in words if w not in self.word}
+        # a comma or full stop behind a letter is a piece of its own
+        cores = {w: w[:-1] if TAIL(w) else w for w in new}
+        missing = {w for w in (b".", b",", *cores.values()) if w not in self.word}
+        self.learn([w for w in missing if b"<|" in w], 1)
+        self.learn([w for w in missing if b"<|" not in w], 200)
+        for w, core in cores.items():
+            if w is not core:
+                self.word[w] = self.word[core] + self.word[w[-1:]]
+        return b"".join(map(self.word.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -77,9 +108,8 @@ def pieces(path: str | None, size: int, end_id: int) -> Callable[[Iterator[pa.Re
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode_all(texts)):
-                ids += end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary())):
+                ids = coder.encode(text.as_py() or b"") + end
                 for k in range(0, len(ids), 4 * size):
                     cut = ids[k : k + 4 * size]
                     length = len(cut) // 4
