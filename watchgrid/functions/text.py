@@ -55,8 +55,8 @@ def pipe(text: Column, grep: str | None = None, split: str | None = None, index:
 def key_value(text: Column, key: str, separator: str | None = None) -> Column:
     """The value of the first line with the key, case aside; = goes before :, comments and blank lines don't count."""
     held = F.filter(lines(text), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
-    at = lambda x: F.lit(separator) if separator else F.when(x.contains("="), "=").otherwise(":")
-    name = lambda x: F.lower(F.trim(F.substring_index(x, at(x), 1)))
+    at = lambda x: F.lit(separator) if separator else F.when(x.contains("="), F.lit("=")).otherwise(F.lit(":"))
+    name = lambda x: F.lower(F.trim(F.split_part(x, at(x), F.lit(1))))
     hit = F.try_element_at(F.filter(held, lambda x: x.contains(at(x)) & (name(x) == key.lower())), F.lit(1))
     where = F.position(F.lit(separator), hit) if separator else F.when(hit.contains("="), F.position(F.lit("="), hit)).otherwise(F.position(F.lit(":"), hit))
     return F.trim(F.substring(hit, where + len(separator or "="), F.length(hit)))

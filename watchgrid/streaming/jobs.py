@@ -28,10 +28,11 @@ def deduplicated(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
     return alerts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["array_id", "observer", "message"])
 
 
-def storms(alerts: DataFrame, seconds: float = 60, threshold: int = 20) -> DataFrame:
+def storms(alerts: DataFrame, seconds: float = 60, threshold: int = 20, late: str = "1 hour") -> DataFrame:
     """The moment of each array's first storm: threshold alerts within so many seconds.
 
-    State holds the moments of the last window, fewer than threshold of them, and ends after an hour's silence.
+    State holds the moments of the last window, fewer than threshold of them, and goes once the watermark has
+    passed them by an hour; a later storm then counts as a first one.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,10 +49,11 @@ def storms(alerts: DataFrame, seconds: float = 60, threshold: int = 20) -> DataF
                     fired = True
                     hits.append((key[0], at, len(recent)))
         state.update((recent, fired))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(recent[-1] // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(hits, columns=["array_id", "ts", "size"])
 
-    return alerts.groupBy("array_id").applyInPandasWithState(run, "array_id long, ts timestamp, size long", "recent array<long>, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    held = alerts.withWatermark("ts", late).groupBy("array_id")
+    return held.applyInPandasWithState(run, "array_id long, ts timestamp, size long", "recent array<long>, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counter_deltas(readings: DataFrame, threshold: float = 0, reset: float = 10_000_000) -> DataFrame:
