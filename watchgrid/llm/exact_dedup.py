@@ -41,7 +41,9 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / block)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.substring(F.col("data"), k * block + 1, F.lit(block)))
     pieces = held.withColumn("blocks", count)
-    rows = pieces.select(F.monotonically_increasing_id().alias("row"), F.sha2("data", 256).alias("sha"), "doc_id", *keys, "blocks", F.posexplode(cut).alias("pos", "block"))
+    # a row is numbered before it is cut: one select would number each of its blocks
+    rows = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("sha", F.sha2("data", 256))
+    rows = rows.select("row", "sha", "doc_id", *keys, "blocks", F.posexplode(cut).alias("pos", "block"))
     names = numbered(pieces.select(F.explode(cut).alias("block")), "name")
     doc = F.when(F.col("pos") == 0, F.struct("doc_id", F.unhex("sha").alias("sha"), "row", *keys)).alias("doc")
     now = materialize(rows.select("row", "blocks", "pos", "block", doc).join(names, "block").select("row", "blocks", F.col("blocks").alias("left"), "pos", "name", "doc"), "names")
