@@ -31,8 +31,8 @@ from watchgrid.llm.bpe import default_path
 from watchgrid.llm.common import materialize, table
 
 SIZE, END_ID = 4096, 1
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Bytes that a worker remembers of words and their ids before it starts afresh, and those of an entry itself.
+REMEMBERED, ENTRY = 200_000_000, 150
 
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
 
@@ -63,6 +63,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.word: dict[bytes, bytes] = {}
+        self.held = 0
 
     def learn(self, words: list[bytes], at_once: int) -> None:
         """Encode words, some at once with a special token between them: the library cuts texts there first."""
@@ -81,8 +82,9 @@ class WordIds:
             return b"".join(map(self.word.__getitem__, words))
         except KeyError:
             pass
-        if len(self.word) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.word.clear()
+            self.held = 0
         new = {w for w in words if w not in self.word}
         # a comma or full stop behind a letter is a piece of its own
         cores = {w: w[:-1] if TAIL(w) else w for w in new}
@@ -92,6 +94,7 @@ class WordIds:
         for w, core in cores.items():
             if w is not core:
                 self.word[w] = self.word[core] + self.word[w[-1:]]
+        self.held += sum(ENTRY + len(w) + len(self.word[w]) for w in new | missing)
         return b"".join(map(self.word.__getitem__, words))
 
 
