@@ -270,8 +270,9 @@ def test_html(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
-def test_exact_dedup(docs, empty):
-    for block in (4, 1024):
+def test_exact_dedup(docs, empty, monkeypatch):
+    for block, common in ((4, 2), (4, 1000), (1024, 2), (1024, 1000)):  # two rows make a value common, or none is
+        monkeypatch.setattr(exact_dedup, "COMMON", common)
         got = exact_dedup.exact_duplicates(docs, block=block).collect()
         norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
         groups = collections.defaultdict(list)

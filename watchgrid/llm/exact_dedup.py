@@ -7,7 +7,9 @@ collides. A level halves the rows; documents with their one name wait. Documents
 at different levels, so (blocks, name) is the identity.
 
 Distinct blocks and pairs are combined before their shuffle, so a text held by a third of all rows is one row a
-task there; the join that gives rows their names can be split by Spark at a hot name.
+task there. In the join that gives rows their names, the HOT commonest values are named by broadcast, which is
+HOT blocks at most, and their rows are spread over all tasks; any other value has less than one in HOT of the rows.
+The last join has a written table on either side, which lets Spark split it at a hot group.
 
 Defined results: a null text counts as empty; empty texts are equal to each other, and a text of white space only
 is one space. Among repeated rows of one doc_id exactly one is kept. A null doc_id sorts after all others, and is
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from watchgrid.llm.common import ROW, WHITE, drop, materialize, table, with_row_key
 
 BLOCK = 1024
+#: How many of the commonest values are named by broadcast, and the rows from which a value counts as common.
+HOT, COMMON = 1000, 1000
 
 
 def normalised(text: Column) -> Column:
@@ -35,6 +39,21 @@ def numbered(values: DataFrame, name: str) -> DataFrame:
     return values.distinct().sortWithinPartitions(*values.columns).withColumn(name, F.monotonically_increasing_id())
 
 
+def with_names(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows (row, and the columns of values) with the integer name of their value; a hot value has one below -1."""
+    columns, key = values.columns, F.xxhash64(*values.columns)
+    counts = values.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    keys = [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(HOT).collect()]
+    names = numbered(values, "name")
+    if not keys:
+        return rows.join(names, columns)
+    hot = numbered(values.where(key.isin(keys)), "hot").withColumn("hot", -2 - F.col("hot"))
+    # the row's number takes the place of a hot value in the shuffle; what it may meet there gives way to the hot name
+    spread = F.when(F.col("hot").isNull(), F.col(columns[0])).otherwise(F.col("row").cast("string").cast(dict(values.dtypes)[columns[0]]))
+    held = rows.join(F.broadcast(hot), columns, "left").withColumn(columns[0], spread)
+    return held.join(names, columns, "left").withColumn("name", F.coalesce("hot", "name")).drop("hot")
+
+
 def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """(doc, blocks, name) for each row; doc is a struct of doc_id, sha, row and the key columns."""
     held = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).cast("binary").alias("data"), *keys)
@@ -44,9 +63,8 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys
     # a row is numbered before it is cut: one select would number each of its blocks
     rows = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("sha", F.sha2("data", 256))
     rows = rows.select("row", "sha", "doc_id", *keys, "blocks", F.posexplode(cut).alias("pos", "block"))
-    names = numbered(pieces.select(F.explode(cut).alias("block")), "name")
     doc = F.when(F.col("pos") == 0, F.struct("doc_id", F.unhex("sha").alias("sha"), "row", *keys)).alias("doc")
-    now = materialize(rows.select("row", "blocks", "pos", "block", doc).join(names, "block").select("row", "blocks", F.col("blocks").alias("left"), "pos", "name", "doc"), "names")
+    now = materialize(with_names(rows.select("row", "blocks", "pos", "block", doc), pieces.select(F.explode(cut).alias("block"))).select("row", "blocks", F.col("blocks").alias("left"), "pos", "name", "doc"), "names")
     done = []
     while True:
         done.append(now.where("left = 1").select("doc", "blocks", "name"))
@@ -59,8 +77,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys
             F.first("doc", ignorenulls=True).alias("doc"),
         )
         pairs = materialize(pairs, "pairs")
-        names = numbered(pairs.select("a", "b"), "name")
-        now = materialize(pairs.join(names, ["a", "b"]).select("row", "blocks", F.shiftright(F.col("left") + 1, 1).alias("left"), "pos", "name", "doc"), "names")
+        now = materialize(with_names(pairs, pairs.select("a", "b")).select("row", "blocks", F.shiftright(F.col("left") + 1, 1).alias("left"), "pos", "name", "doc"), "names")
         drop(pairs)
 
 
@@ -68,6 +85,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs, and the key columns asked for."""
     named = identities(docs, doc_id, text, keys, block).select("blocks", "name", "doc.*")
     first = named.groupBy("blocks", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("group_size"))
+    first = materialize(first, "first")
     return named.join(first, ["blocks", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *keys)
 
 
