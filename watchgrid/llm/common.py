@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def with_row_key(df: DataFrame) -> DataFrame:
     try:
         meta = df.metadataColumn("_metadata")
         return df.select("*", meta["file_path"].alias(ROW[0]), meta["row_index"].alias(ROW[1]))
-    except Exception:
+    except AnalysisException:
         return with_row_key(materialize(df, "rows"))
 
 
@@ -78,20 +79,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: each round hooks every node's larger neighbours to its smallest one, then the smaller
     ones; rounds end when no pair changes. A node's neighbours are never gathered: each step is a minimum by
-    key, which Spark combines before its shuffle, and a join on that key. Each round is written out.
+    key, which Spark combines before its shuffle, and a join on that key. Each round is written out, and so are the
+    minima: a join of two written tables can be split at a node with very many neighbours.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     sign = None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = materialize(small, "edges")
-        drop(large)
-        drop(now)
+        for done in (low, large, least, now):
+            drop(done)
         now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == sign:

@@ -198,13 +198,16 @@ def links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def components(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint in prints (doc_id, fp): the smallest doc_id reachable."""
-    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    """(fp, component_id) of each distinct fingerprint in prints (doc_id, fp): the smallest doc_id reachable.
+
+    Each side of a join by a key that may be hot is a written table, so that Spark can split the join there.
+    """
+    low = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "low")
     found = connected_components(links(prints.select("fp").distinct(), heavy))
-    named = found.join(low, found["node"] == low["fp"]).select("fp", "root", "low")
-    least = named.groupBy("root").agg(F.min("low").alias("least"))
+    named = materialize(found.join(low, found["node"] == low["fp"]).select("fp", "root", "low"), "named")
+    least = materialize(named.groupBy("root").agg(F.min("low").alias("least")), "least")
     small = named.join(least, "root").select(F.col("fp").alias("node"), "least")
-    return low.join(small, low["fp"] == small["node"], "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    return materialize(low.join(small, low["fp"] == small["node"], "left").select("fp", F.coalesce("least", "low").alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = (), heavy: int = HEAVY) -> DataFrame:
