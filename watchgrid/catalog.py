@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchgrid.functions import text as tx
-from watchgrid.operators import aggregate, baseline, detectors, episodes, issues, lifecycle, rules, store, tasks
+from watchgrid.operators import aggregate, baseline, detectors, episodes, issues, lifecycle, reads, rules, store, tasks
 from watchgrid.schema import NOW, SQL, acknowledgements, alerts, level_rank, micros, now, table
 from watchgrid.schema import tasks as test_windows
 from watchgrid.sources import readers
@@ -583,3 +583,78 @@ def alert_log_parse(spark: SparkSession, sf: str) -> DataFrame:
     lines = alerts(spark, sf).select(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("observer").alias("observer_name"), F.upper("level").alias("level"), "message", "details")).alias("value"))
     bad = spark.createDataFrame([("no json",), ('{"level": "error"}',)], "value string")
     return readers.parsed_alerts(lines.union(bad)).where("ok").groupBy("observer", "level").agg(F.count("*").alias("n"))
+
+
+# Small reads
+
+AT = "TIMESTAMP '2024-01-04 18:00:00'"
+
+
+@query(f"SELECT r.array_id, min(t.task_id) AS task_id, min(t.task_id) IS NULL AS available FROM (SELECT DISTINCT array_id FROM alerts) r LEFT JOIN tasks t ON t.started_at <= {AT} AND (t.ended_at IS NULL OR t.ended_at > {AT}) AND (len(t.array_ids) = 0 OR list_contains(t.array_ids, r.array_id)) GROUP BY 1")
+def lock_check(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.lock_check(alerts(spark, sf), test_windows(spark), F.lit("2024-01-04 18:00:00").cast("timestamp_ntz"))
+
+
+@query("SELECT r.array_id, min(t.task_id) AS task_id, min(t.task_id) IS NULL AS available FROM (SELECT DISTINCT array_id FROM alerts) r LEFT JOIN tasks t ON t.started_at <= TIMESTAMP '2024-01-15 12:00:00' AND (t.ended_at IS NULL OR t.ended_at > TIMESTAMP '2024-01-15 12:00:00') AND (len(t.array_ids) = 0 OR list_contains(t.array_ids, r.array_id)) GROUP BY 1")
+def lock_check_some_free(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.lock_check(alerts(spark, sf), test_windows(spark), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+
+
+@query(f"SELECT array_id AS user, ts FROM (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY ts DESC, id DESC) AS rn FROM alerts) WHERE rn = 1 AND observer = 'view' AND ts > TIMESTAMP '{NOW}' - INTERVAL 20 DAY")
+def users_on_page(spark: SparkSession, sf: str) -> DataFrame:
+    visits = alerts(spark, sf).select(F.col("array_id").alias("user"), "ts", "id", F.col("observer").alias("page"))
+    return reads.on_page(visits, "view", now(), "20 days")
+
+
+@query(f"""
+    , ports AS (SELECT array_id, observer, arg_max(level, (ts, id)) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY) AS mode, arg_max(k % 2, (ts, id)) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY) AS protocol FROM alerts GROUP BY 1, 2),
+    first AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY observer) AS place FROM ports)
+    SELECT array_id, count(*) AS ports, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes, string_agg(DISTINCT CAST(protocol AS VARCHAR), ',' ORDER BY CAST(protocol AS VARCHAR)) AS protocols FROM first WHERE place <= 4 AND mode IS NOT NULL GROUP BY 1
+    """)
+def traffic_mode_info(spark: SparkSession, sf: str) -> DataFrame:
+    points = alerts(spark, sf).select("array_id", "ts", "id", F.col("observer").alias("port"), F.col("level").alias("mode"), (F.col("k") % 2).cast("string").alias("protocol"))
+    return reads.mode_info(points, now() - F.expr("interval 10 days"), 4)
+
+
+@query("SELECT s_suppkey AS array_id FROM supplier WHERE s_nationkey IN (1, 2, 3) OR s_suppkey IN (1, 4, 9)", raw=True)
+def deployment_targets(spark: SparkSession, sf: str) -> DataFrame:
+    arrays = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("array_id"), F.col("s_nationkey").alias("tag_id"))
+    return reads.targets(arrays, (1, 2, 3), (1, 4, 9))
+
+
+@query(
+    """
+    WITH f AS (SELECT 'alerts.log.' || CAST(o_orderkey AS VARCHAR) AS name, o_orderkey * o_orderkey % 5000000 AS size FROM orders)
+    SELECT name, size, 'Jan 02 03:04' AS modified,
+           CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024) ELSE printf('%.1f MB', size / 1048576) END AS size_human
+    FROM f
+    """,
+    raw=True,
+)
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    lines = table(spark, sf, "orders").select(F.concat(F.lit("-rw-r--r-- 1 root  root "), (key * key % 5_000_000).cast("string"), F.lit(" Jan 02 03:04 /var/log/points/alerts.log."), key.cast("string")).alias("value"))
+    return reads.listed_files(lines.union(spark.createDataFrame([("total 12",), ("",), ("no file",)], "value string")))
+
+
+@query(f"SELECT id FROM alerts WHERE id % 11 = 0 OR ts >= TIMESTAMP '{NOW}' - INTERVAL 3 DAY")
+def metrics_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    records = alerts(spark, sf).select("id", F.when(F.col("id") % 11 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"))
+    return reads.since_cutoff(records, now() - F.expr("interval 3 days")).select("id")
+
+
+@query("SELECT id, level, observer, ts FROM alerts WHERE level = 'error' AND observer LIKE '%i%' ORDER BY ts DESC, id DESC LIMIT 50")
+def system_log(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.system_log(alerts(spark, sf).withColumn("module", F.upper("observer")), "error", "I", 50).select("id", "level", "observer", "ts")
+
+
+@query("SELECT id, CASE WHEN id % 13 = 0 THEN 0 ELSE 1 END AS n_params, CASE WHEN id % 13 = 0 THEN NULL ELSE CAST(k AS VARCHAR) END AS k FROM alerts")
+def observer_settings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = alerts(spark, sf).select("id", F.when(F.col("id") % 13 == 0, "{broken").otherwise(F.col("details")).alias("params"))
+    return reads.settings(rows).select("id", F.size("params").alias("n_params"), F.try_element_at("params", F.lit("k")).alias("k"))
+
+
+@query("SELECT k.alert_id, k.ack_type, a.level, c.c_name AS nickname FROM acks k JOIN alerts a ON a.id = k.alert_id LEFT JOIN customer c ON c.c_custkey = a.array_id")
+def ack_detail(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("array_id"), F.col("c_name").alias("nickname"))
+    return reads.ack_detail(acknowledgements(spark, sf), alerts(spark, sf), names).select("alert_id", "ack_type", "level", "nickname")
