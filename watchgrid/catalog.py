@@ -658,3 +658,36 @@ def observer_settings(spark: SparkSession, sf: str) -> DataFrame:
 def ack_detail(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("array_id"), F.col("c_name").alias("nickname"))
     return reads.ack_detail(acknowledgements(spark, sf), alerts(spark, sf), names).select("alert_id", "ack_type", "level", "nickname")
+
+
+PROBES = {
+    "service_active": "id % 2 = 0", "main_pid": "CASE WHEN id % 3 = 0 THEN 0 ELSE id END", "main_alive": "id % 5 <> 0", "main_matches": "id % 7 <> 0",
+    "file_pid": "CASE WHEN id % 4 <> 0 THEN id + 1 END", "file_alive": "id % 6 <> 0", "file_matches": "id % 9 <> 0",
+    "found_pid": "CASE WHEN id % 10 <> 0 THEN id + 2 END", "found_matches": "id % 11 <> 0",
+}
+
+
+@query(f"""
+    , p AS (SELECT id, {", ".join(f"{v} AS {k}" for k, v in PROBES.items())} FROM alerts),
+    e AS (SELECT *, service_active AND main_pid > 0 AND main_alive AND main_matches AS s, file_pid IS NOT NULL AND file_alive AND file_matches AS f, found_pid IS NOT NULL AND found_matches AS g FROM p)
+    SELECT id, s OR f OR g AS running, CASE WHEN s THEN 'systemd' WHEN f THEN 'pidfile' WHEN g THEN 'pgrep' ELSE 'none' END AS source,
+           CASE WHEN s OR f THEN 'high' WHEN g THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN s THEN main_pid WHEN f THEN file_pid WHEN g THEN found_pid END AS pid,
+           file_pid IS NOT NULL AND NOT file_alive AS stale
+    FROM e
+    """)
+def agent_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    probes = alerts(spark, sf).selectExpr("id", *(f"{v} AS {k}" for k, v in PROBES.items()))
+    return reads.evidence(probes).select("id", "running", "source", "confidence", "pid", "stale")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'see ' || message END AS interpretation, id % 3 = 0 AS cached FROM alerts")
+def cached_interpretations(spark: SparkSession, sf: str) -> DataFrame:
+    held = alerts(spark, sf)
+    cache = held.where("id % 3 = 0").select("id", F.concat(F.lit("see "), "message").alias("interpretation"))
+    return reads.interpreted(held.select("id"), cache)
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O'", raw=True)
+def issue_list(spark: SparkSession, sf: str) -> DataFrame:
+    issues = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return reads.issue_list(issues, "O").select("id", "created_at")

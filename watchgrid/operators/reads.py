@@ -78,3 +78,30 @@ def settings(rows: DataFrame, params: str = "params") -> DataFrame:
 def ack_detail(acks: DataFrame, alerts: DataFrame, names: DataFrame) -> DataFrame:
     """Acknowledgements with their alert and the nickname of the array's owner, if there is one."""
     return acks.join(alerts.withColumnRenamed("id", "alert_id"), "alert_id").join(names, "array_id", "left")
+
+
+def evidence(probes: DataFrame) -> DataFrame:
+    """Whether an agent runs, by the best evidence: its service, its pid file, or a process found by search.
+
+    probes has service_active, main_pid, main_alive, main_matches; file_pid, file_alive, file_matches; found_pid and
+    found_matches. A null counts as no.
+    """
+    yes = lambda *names: F.coalesce(F.expr(" and ".join(names)), F.lit(False))
+    service = yes("service_active", "main_pid > 0", "main_alive", "main_matches")
+    file = yes("file_pid is not null", "file_alive", "file_matches")
+    found = yes("found_pid is not null", "found_matches")
+    source = F.when(service, "systemd").when(file, "pidfile").when(found, "pgrep").otherwise("none")
+    pid = F.when(service, F.col("main_pid")).when(file, F.col("file_pid")).when(found, F.col("found_pid"))
+    trust = F.when(service | file, "high").when(found, "medium").otherwise("low")
+    stale = F.col("file_pid").isNotNull() & ~yes("file_alive")
+    return probes.withColumns({"running": service | file | found, "source": source, "confidence": trust, "pid": pid, "stale": stale})
+
+
+def interpreted(alerts: DataFrame, cache: DataFrame) -> DataFrame:
+    """alerts with their cached interpretation, and whether there is one."""
+    return alerts.join(cache, "id", "left").withColumn("cached", F.col("interpretation").isNotNull())
+
+
+def issue_list(issues: DataFrame, status: str | None = None) -> DataFrame:
+    """Issues newest first, of one status if it is given."""
+    return (issues if status is None else issues.where(F.col("status") == status)).orderBy(F.desc("created_at"), F.desc("id"))
