@@ -1,14 +1,17 @@
 """Operator 4: personal data by gradient-boosted trees over candidate spans.
 
 All of it is DataFrame functions. Base patterns give spans that always stand. Beside them, generators of high
-recall propose spans that look like an address or a number at all, overlapping the base spans and each other; a
+recall propose spans that look like an address or a number at all, overlapping the base spans and each other: of
+each run of digits and separators all windows of whole digit groups with 7 to 19 digits. A
 candidate is described by its format and by what stands around it. Small boosted trees, one model a kind, learn
 from all candidates which formats and contexts the base spans of the kind have, without seeing the sign by which
 the base pattern finds them. A threshold for each kind is set where nine in ten candidates beyond it are base
-spans, and other candidates beyond it are added, unless they overlap a base span.
+spans, and other candidates beyond it are added, unless they overlap a base span; of added spans of a kind that
+overlap, the one that scores higher stays. Base
+patterns judge whole runs, so parts of a run are learnt from only where they are base spans.
 
 The trees are fitted to the table of distinct candidate descriptions with their counts, the CELLS commonest of
-them; then they become CASE expressions in the plan. Places in a text come from the lengths of matches and of
+them; then they become CASE expressions in the plan, and thresholds are set by all descriptions. Places in a text come from the lengths of matches and of
 what stands between them, in blocks, so a text with many matches takes no more than its length.
 
 Defined results: a null text is empty and has no spans. Repeated rows and null ids give a row each. Extra columns
@@ -40,6 +43,8 @@ GENERATORS = {
     "address": r"(?<![^\s@<>(),;:\x22'\[\]])[^\s@<>(),;:\x22'\[\]]++@[^\s@<>(),;:\x22'\[\]]*[^\s@<>(),;:\x22'\[\].!?]",
     "number": r"(?<![0-9])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+",
 }
+#: What stands between two groups of digits of one number, and how many digits a number has.
+GAP, DIGITS = r"^[\x20()./-]{0,2}$", (7, 19)
 GENERATED = {"address": ("email",), "number": ("ip", "card", "phone")}
 #: Words before a span, by what they announce.
 CONTEXT = {1: r"(?:phone|tel|call|fax|mobile|cell)", 2: r"(?:e-?mail|contact|write)", 3: r"(?:card|visa|credit|payment|account)", 4: r"(?:ip|host|server|addr|address)", 5: r"(?:version|ver|isbn|id|no|ref|order)"}
@@ -151,21 +156,55 @@ def describe(c: Column) -> list[Column]:
     return [values[f].alias(f) for f in FEATURES]
 
 
+def joined(groups: str) -> Column:
+    """Digit groups with whether they go on from the group before (joins) and into the next one (goes)."""
+    next_ = lambda i: F.coalesce(F.get(groups, i + 1)["before"].rlike(GAP), F.lit(False))
+    return F.transform(groups, lambda x, i: x.withField("joins", (i > 0) & x["before"].rlike(GAP)).withField("goes", next_(i)))
+
+
+def windows(groups: str) -> Column:
+    """All windows of neighbouring digit groups with as many digits as a number has, of joined() groups.
+
+    first is where the digits start, whole whether nothing goes on before or after. Each group has a digit, so that at most DIGITS[1] windows start at one.
+    """
+    kind = "struct<open:boolean,digits:int,m:string,out:array<struct<stop:bigint,m:string,after:string,ends:boolean>>>"
+    none = F.struct(F.lit(True).alias("open"), F.lit(0).alias("digits"), F.lit("").alias("m"), F.array().cast("array<struct<stop:bigint,m:string,after:string,ends:boolean>>").alias("out")).cast(kind)
+
+    def step(acc: Column, y: Column) -> Column:
+        digits = acc["digits"] + F.length(y["m"])
+        goes = acc["open"] & (digits <= DIGITS[1]) & ((acc["digits"] == 0) | y["joins"])
+        m = F.when(acc["digits"] == 0, y["m"]).otherwise(F.concat(acc["m"], y["before"], y["m"]))
+        out = F.when(goes & (digits >= DIGITS[0]), F.concat(acc["out"], F.array(F.struct(y["stop"].alias("stop"), m.alias("m"), y["after"].alias("after"), (~y["goes"]).alias("ends"))))).otherwise(acc["out"])
+        return F.when(goes, F.struct(goes.alias("open"), digits.alias("digits"), m.alias("m"), out.alias("out"))).otherwise(F.struct(F.lit(False).alias("open"), acc["digits"].alias("digits"), acc["m"].alias("m"), acc["out"].alias("out"))).cast(kind)
+
+    def starting(x: Column, i: Column) -> Column:
+        lead = F.regexp_extract(x["before"], "[+(]$", 0)
+        found = F.aggregate(F.slice(groups, i + 1, F.lit(DIGITS[1])), none, step, lambda acc: acc["out"])
+        return F.transform(found, lambda w: F.struct((x["start"] - F.length(lead)).alias("start"), x["start"].alias("first"), w["stop"].alias("stop"), F.concat(lead, w["m"]).alias("m"), F.regexp_replace(x["before"], "[+(]$", "").alias("before"), w["after"].alias("after"), (~x["joins"] & w["ends"]).alias("whole")))
+
+    return F.flatten(F.transform(groups, starting))
+
+
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     """Kept columns, base_<kind> arrays of (start, stop), and cand: candidates with their kind, features and label."""
-    held = located(docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")), BASE | GENERATORS)
+    held = located(docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")), BASE | {"address": GENERATORS["address"]})
+    # groups of digits, of texts with a number only
+    held = located(held.withColumn("whole", F.col("text")).withColumn("text", F.when(F.col("text").rlike(GENERATORS["number"]), F.col("text")).otherwise("")), {"group": "[0-9]+"}).withColumn("text", F.col("whole")).drop("whole")
+    held = held.withColumn("at_group", joined("at_group")).withColumn("at_number", windows("at_group")).withColumn("at_address", F.transform("at_address", lambda x: x.withField("first", x["start"]).withField("whole", F.lit(True))))
     span = lambda x: F.struct(x["start"], x["stop"])
     held = held.withColumns({f"base_{k}": F.transform(F.filter(f"at_{k}", passing(k)), span) for k in KINDS})
     meets = lambda x, kind: F.exists(F.col(f"base_{kind}"), lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    equals = lambda x, kind: F.exists(F.col(f"base_{kind}"), lambda b: (b["stop"] == x["stop"]) & ((b["start"] == x["start"]) | (b["start"] == x["first"])))
 
     def proposed(generator: str) -> Column:
         kinds = GENERATED[generator]
+        label = equals if generator == "number" else meets
         return F.transform(
             f"at_{generator}",
-            lambda x: F.struct(x["start"], x["stop"], *describe(x), F.lit(generator).alias("generator"), F.array(*[F.lit(k) for k in kinds]).alias("kinds"), F.array(*[meets(x, k) for k in kinds]).alias("labels"), F.greatest(*[meets(x, k) for k in KINDS]).alias("found")),
+            lambda x: F.struct(x["start"], x["first"], x["stop"], *describe(x), F.lit(generator).alias("generator"), F.array(*[F.lit(k) for k in kinds]).alias("kinds"), F.array(*[label(x, k) for k in kinds]).alias("labels"), F.array(*[label(x, k) | (x["whole"] & ~meets(x, k)) for k in kinds]).alias("counts"), F.greatest(*[meets(x, k) for k in KINDS]).alias("found")),
         )
 
-    return held.withColumn("cand", F.concat(proposed("address"), proposed("number"))).drop(*(f"at_{n}" for n in BASE | GENERATORS))
+    return held.withColumn("cand", F.concat(proposed("address"), proposed("number"))).drop("at_group", *(f"at_{n}" for n in BASE | GENERATORS))
 
 
 Tree = tuple[int, int, object, object]  # feature, cut, below or at, above: trees or leaf values
@@ -205,30 +244,18 @@ def value_of(tree: object, x: tuple[int, ...]) -> float:
     return tree
 
 
-def boost(rows: Rows) -> tuple[float, list[object], float | None]:
-    """Start value, trees, and the threshold; None where no score is precise enough."""
+def boost(rows: Rows) -> tuple[float, list[object]]:
+    """Start value and trees; without positives no trees."""
     pos, n = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not pos:
-        return 0.0, [], None
+        return 0.0, []
     start = math.log((pos + 0.5) / (n - pos + 0.5))
     score, trees = [start] * len(rows), []
     for _ in range(ROUNDS):
         tree = grow(rows, score, 3)
         trees.append(tree)
         score = [s + RATE * value_of(tree, x) for s, (x, _, _) in zip(score, rows)]
-    # from the top: candidates of equal score together, as long as each lot is precise
-    by_score: dict[float, list[int]] = {}
-    for s, (_, p, m) in zip(score, rows):
-        lot = by_score.setdefault(round(s, 9), [0, 0])
-        lot[0] += p
-        lot[1] += m
-    threshold = None
-    for s in sorted(by_score, reverse=True):
-        p, m = by_score[s]
-        if p < PRECISION * m:
-            break
-        threshold = s
-    return start, trees, threshold
+    return start, trees
 
 
 def expression(tree: object, c: Column) -> Column:
@@ -240,33 +267,59 @@ def expression(tree: object, c: Column) -> Column:
 Models = dict[str, tuple[float, list[object], float | None]]
 
 
+def total(start: float, trees: list[object], c: Column | DataFrame) -> Column:
+    out = F.lit(start)
+    for t in trees:
+        out = out + RATE * expression(t, c)
+    return out
+
+
+def threshold(cells: DataFrame, start: float, trees: list[object]) -> float | None:
+    """From the top: candidates of equal score together, as long as each lot is precise; None where no lot is."""
+    if not trees:
+        return None
+    lots = cells.groupBy(F.round(total(start, trees, cells), 9).alias("s")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    vague = lots.where(F.col("pos") < PRECISION * F.col("n")).agg(F.max("s")).first()[0]
+    return lots.where(F.col("s") > vague if vague is not None else F.lit(True)).agg(F.min("s")).first()[0]
+
+
 def fit(held: DataFrame) -> Models:
     """A model for each kind, from all candidates."""
     one = held.select(F.explode("cand").alias("c")).select("c.*")
-    cells = one.select(*FEATURES, F.explode(F.arrays_zip("kinds", "labels")).alias("k")).groupBy("k.kinds", *FEATURES).agg(F.sum(F.col("k.labels").cast("long")).alias("pos"), F.count("*").alias("n"))
+    cells = one.select(*FEATURES, F.explode(F.arrays_zip("kinds", "labels", "counts")).alias("k")).where("k.counts").groupBy("k.kinds", *FEATURES).agg(F.sum(F.col("k.labels").cast("long")).alias("pos"), F.count("*").alias("n"))
+    cells = materialize(cells, "cells")
     models = {}
     got = cells.orderBy(F.desc("n"), "kinds", *FEATURES).limit(CELLS).collect()
     for kind in KINDS:
-        models[kind] = boost([(tuple(r[f] for f in FEATURES), r["pos"], r["n"]) for r in got if r["kinds"] == kind])
+        start, trees = boost([(tuple(r[f] for f in FEATURES), r["pos"], r["n"]) for r in got if r["kinds"] == kind])
+        models[kind] = start, trees, threshold(cells.where(F.col("kinds") == kind), start, trees)
     return models
 
 
+def apart(spans: Column) -> Column:
+    """Of spans (start, stop, score) in order those that stay: of two that overlap the higher score, then the first."""
+    kind = "array<struct<start:bigint,stop:bigint,score:double>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        clear = (F.size(acc) == 0) | (last["stop"] <= s["start"])
+        return F.when(clear, F.concat(acc, F.array(s))).when(s["score"] > last["score"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(s))).otherwise(acc)
+
+    return F.aggregate(spans.cast(kind), F.array().cast(kind), step)
+
+
 def selected(held: DataFrame, models: Models) -> DataFrame:
     """held with all_<kind>: the base spans and the added ones, in order."""
 
     def added(kind: str) -> Column:
-        start, trees, threshold = models[kind]
-        if threshold is None:
+        start, trees, least = models[kind]
+        if least is None:
             return F.col(f"base_{kind}")
-
-        def chosen(c: Column) -> Column:
-            total = F.lit(start)
-            for t in trees:
-                total = total + RATE * expression(t, c)
-            return F.array_contains(c["kinds"], kind) & ~c["found"] & (total >= threshold - 1e-6)
-
-        more = F.transform(F.filter("cand", chosen), lambda x: F.struct(x["start"], x["stop"]))
-        return F.array_sort(F.concat(f"base_{kind}", more))
+        free = F.filter("cand", lambda c: F.array_contains(c["kinds"], kind) & ~c["found"])
+        # a plus or bracket before the digits is part of a phone number only
+        scored = F.transform(free, lambda c: F.struct((c["start"] if kind in ("email", "phone") else c["first"]).alias("start"), c["stop"].alias("stop"), total(start, trees, c).alias("score")))
+        sure = F.array_sort(F.filter(scored, lambda c: c["score"] >= least - 1e-6))
+        return F.array_sort(F.concat(f"base_{kind}", F.transform(apart(sure), lambda x: F.struct(x["start"], x["stop"]))))
 
     return held.withColumns({f"all_{k}": added(k) for k in KINDS})
 
