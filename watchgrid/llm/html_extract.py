@@ -1,11 +1,17 @@
 """Operator 8: main text of web pages by tree scoring.
 
-A page is read into a tree, tolerantly: a missing end tag ends where HTML says it does. Elements that can't hold
-main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers, and
-what is hidden) are left out, by tag, role or the words of their class and id. Each stretch of text between block
-boundaries gives points for length and commas to its ancestors, fewer the further up. The container with the most
-points, discounted by the share of its text that is in links, is kept, with siblings that score close to it; in
-an article or main element all of that element is.
+A page is read into a tree, tolerantly: a missing end tag ends where HTML says it does. What can never hold main
+text goes at once: menus, asides, form controls, scripts, styles, and what is hidden or has such a role. Each
+stretch of text between block boundaries gives points for its length and commas to its ancestors, fewer the further
+up, discounted by the share of their text that is in links. The element with the most points is the best container.
+All of it is kept, and of its ancestors those other children that go with it: within an article element all, else
+headings and paragraphs, containers of the same make with sentences in them, and containers that score close to it.
+
+Names only suggest. A class or id counts if one of its tokens consists of a word for what isn't main text (ad,
+sidebar, comments, ...) and words without meaning of their own (box, wrapper, list, ...), on containers alone. Even
+then a container stays where next to nothing would be left without it. Words that articles use too (related, social,
+...) need a container without long plain paragraphs besides. A header stays within the kept part if it has a heading
+and no menu, a form if half of the page's points are in it; its controls go.
 
 Defined results: a null or empty page, and one without main text, gives the empty text. A page without any tags
 is one block. Repeated rows and null ids give a row each. Extra columns are ignored.
@@ -26,6 +32,7 @@ from watchgrid.llm.common import table
 TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 #: The rest of a tag; a quoted value may hold ">".
 REST = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^>\"']+)*+)>")
+CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -37,41 +44,92 @@ ENDS = {t: ({"p"}, {"button", "td", "th", "table", "caption"}) for t in BLOCKS -
 ENDS |= {"dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "li": ({"li"}, {"ul", "ol", "menu", "dir"})}
 ENDS |= {t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")} | {"tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select", "datalist"})}
 ENDS |= {t: ({"tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")}
-PARAGRAPHS = set("p li td th pre blockquote dd dt figcaption caption summary h1 h2 h3 h4 h5 h6".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = set("p li td th pre blockquote dd dt figcaption caption summary".split()) | HEADINGS
+#: Elements that a class or an id may leave out.
+CONTAINERS = set("div section aside ul ol dl table article header footer form details center li p".split())
 
-OUT_TAGS = set("head nav footer aside form button select script style template noscript iframe object embed svg canvas math audio video map dialog menu title textarea".split())
+OUT_TAGS = set("head nav aside button select option optgroup datalist script style template noscript iframe embed svg canvas audio video dialog menu title textarea".split())
 OUT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class names and ids; an element with one of them is left out.
-OUT_WORDS = set(
-    """ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu
-    submenu breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar sidebar aside widget widgets comment comments
-    disqus respond reply replies discussion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login
-    share sharing social related recommended recirculation outbrain taboola skip hidden""".split()
+#: Words of classes and ids by what they suggest.
+STRONG = set(
+    """ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu submenu
+    breadcrumb breadcrumbs pagination pager masthead topbar footer bottombar sidebar aside notice notices cookie cookies consent gdpr popup modal overlay
+    newsletter subscribe subscription signup login share sharing outbrain taboola recirculation copyright skip""".split()
+)
+COMMENTS = set("comment comments commentlist disqus respond reply replies".split())
+WEAK = set("social related recommended recommendations widget widgets discussion hidden toolbar".split())
+TOPS = set("header banner".split())
+#: Words that say nothing of what a container holds, and those that turn the word after them.
+NEUTRAL = set(
+    """box block area wrap wrapper container list item items section links link bar top bottom left right main inner outer posts post articles article
+    content entry story stories blog news text message messages buttons button icons icon policy row col column columns group module region panel component unit slot form
+    float floating sticky fixed mobile desktop first last more id js page site global primary secondary to""".split()
 )
+SITE = set("page site global top main primary".split())
+TURNS = set("has with no without is not non hide".split())
 WORD = re.compile(r"[a-z]+")
-LEAST = 25
+CAMEL = re.compile(r"([a-z])([A-Z])")
+SENTENCE = re.compile(r"[.!?:;…。！？»”\"')]$")
+RIGHTS = re.compile(r"(?i)(?:©|\(c\)|copyright\b)")
+LEAST, LONG = 25, 100
+
+#: What an element is before its contents are known.
+PLAIN, HARD, IS_STRONG, IS_COMMENT, IS_WEAK, IS_TOP, IS_FORM = range(7)
+
+
+def by_name(tag: str, names: str) -> int:
+    """What the tokens of a class and an id suggest."""
+    found = PLAIN
+    for token in CAMEL.sub(r"\1-\2", names).lower().split():
+        words = WORD.findall(token)
+        if not words or words[0] in TURNS:
+            continue
+        if tag == "p" and len(words) > 1:
+            continue
+        meant = [w for w in words if w not in NEUTRAL]
+        if not meant:
+            continue
+        if all(w in COMMENTS for w in meant):
+            return IS_COMMENT
+        if any(w in STRONG for w in meant) and all(w in STRONG or w in COMMENTS or w in TOPS or w in WEAK for w in meant):
+            return IS_STRONG
+        if all(w in TOPS for w in meant):
+            found = IS_STRONG if SITE & set(words) else IS_TOP
+        elif all(w in WEAK or w in TOPS for w in meant) and tag != "p":
+            found = found or IS_WEAK
+    return found
 
 
-def left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUT_TAGS or tag == "header" and not in_article:
-        return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+def kind_of(tag: str, attributes: str, in_article: bool, in_quote: bool) -> int:
+    kind = HARD if tag in OUT_TAGS else PLAIN
+    if tag == "footer" and not in_quote:
+        kind = IS_STRONG
+    elif tag == "header" and not in_article:
+        kind = IS_TOP
+    elif tag == "form":
+        kind = IS_FORM
+    if kind == HARD or not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+        return kind
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    if tag in ("html", "body"):
+        return kind
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "article", "main") and not {"comment", "comments"} & set(WORD.findall(found.get("class", "").lower())):
-        return False
-    if OUT_ROLES & set(found.get("role", "").lower().split()):
-        return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return not OUT_WORDS.isdisjoint(WORD.findall(names))
+        return HARD
+    if tag != "main" and OUT_ROLES & set(found.get("role", "").lower().split()):
+        return HARD
+    if tag in CONTAINERS and kind in (PLAIN, IS_FORM, IS_TOP):
+        named = by_name(tag, f"{found.get('class', '')} {found.get('id', '')}")
+        if not (in_article and named == IS_TOP) and named:
+            return named
+    return kind
 
 
 def extract(page: str) -> str:
     """The main text of a page: its blocks in order, joined by newlines."""
-    tags, parents, ends, out, depth_in_article = ["html"], [-1], [0], [False], [False]
-    own, linked, links = [0], [0], [0]
+    tags, parents, ends, kinds, names = ["html"], [-1], [0], [PLAIN], [""]
+    out, in_article, in_quote, in_form = [False], [False], [False], [False]
+    own, linked = [0], [0]
     runs: list[tuple[int, str]] = []
     stack, blocks, counts = [0], [0], {"html": 1}
     parts: list[str] = []
@@ -181,11 +239,16 @@ def extract(page: str) -> str:
         tags.append(tag)
         parents.append(top)
         ends.append(k + 1)
-        depth_in_article.append(depth_in_article[top] or tag in ("article", "main"))
-        out.append(out[top] or left_out(tag, rest, depth_in_article[top]))
+        kind = kind_of(tag, rest, in_article[top], in_quote[top])
+        kinds.append(kind)
+        classes = CLASS.search(rest) if block and rest else None
+        names.append(" ".join(sorted((classes[1] or classes[2] or classes[3] or "").split())) if classes else "")
+        out.append(out[top] or kind == HARD or in_form[top] and tag in ("label", "legend"))
+        in_article.append(in_article[top] or tag == "article")
+        in_quote.append(in_quote[top] or tag == "blockquote")
+        in_form.append(in_form[top] or tag == "form")
         own.append(0)
         linked.append(0)
-        links.append(int(tag == "a"))
         stack.append(k)
         counts[tag] = counts.get(tag, 0) + 1
         in_link += tag == "a"
@@ -195,57 +258,128 @@ def extract(page: str) -> str:
     flush()
     while stack:
         pop()
-    for k in range(len(tags) - 1, 0, -1):
-        p = parents[k]
-        own[p] += own[k]
-        linked[p] += linked[k]
-        links[p] += links[k]
-    return choose(tags, parents, ends, own, linked, links, runs)
+    return "\n".join(text for k, text in choose(tags, parents, ends, kinds, names, in_article, own, linked, runs))
 
 
-def choose(tags: list[str], parents: list[int], ends: list[int], own: list[int], linked: list[int], links: list[int], runs: list[tuple[int, str]]) -> str:
-    points: dict[int, float] = {}
+def gain_of(text: str) -> float:
+    """Points of a stretch of text; less than a sentence gives a part of one."""
+    return 1 + text.count(",") + min(len(text) // 100, 3) if len(text) >= LEAST else len(text) / LEAST / 2
+
+
+def choose(tags: list[str], parents: list[int], ends: list[int], kinds: list[int], names: list[str], in_article: list[bool], own: list[int], linked: list[int], runs: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The runs that are main text. Elements are numbered in page order; ends has the number after an element's last descendant."""
+    n = len(tags)
+    gain, clean, longest = [0.0] * n, 0.0, [0] * n
+    doubtful = [False] * n
+    for k in range(1, n):
+        doubtful[k] = doubtful[parents[k]] or kinds[k] in (IS_STRONG, IS_COMMENT)
     for k, text in runs:
-        if len(text) < LEAST:
-            continue
-        gain = 1 + text.count(",") + min(len(text) // 100, 3)
-        up = parents[k] if tags[k] in PARAGRAPHS else k
+        g = gain_of(text)
+        gain[k] += g
+        clean += 0.0 if doubtful[k] else g
+        if own[k] and linked[k] <= own[k] // 2:
+            longest[k] = max(longest[k], len(text))
+    headed, menus = [t in HEADINGS for t in tags], [t == "nav" or k == IS_STRONG for t, k in zip(tags, kinds)]
+    total, share_own, share_linked = gain[:], own[:], linked[:]
+    for k in range(n - 1, 0, -1):
+        p = parents[k]
+        total[p] += total[k]
+        share_own[p] += share_own[k]
+        share_linked[p] += share_linked[k]
+        longest[p] = max(longest[p], longest[k])
+        headed[p] |= headed[k]
+        menus[p] |= menus[k]
+    dense = lambda k: share_linked[k] / max(1, share_own[k])
+    gone = bytearray(n)
+    for k in range(1, n):
+        kind, drop = kinds[k], False
+        if kind == IS_COMMENT:
+            drop = True
+        elif kind == IS_STRONG:
+            drop = clean >= 0.1 * total[k]
+        elif kind == IS_WEAK:
+            drop = longest[k] < LONG or dense(k) > 0.5
+        elif kind == IS_TOP:
+            drop = not headed[k] or menus[k] or dense(k) > 0.5 or tags[parents[k]] in ("body", "html")
+            drop = drop and clean >= 0.1 * total[k]
+        elif kind == IS_FORM:
+            drop = total[k] < 0.5 * total[0]
+        gone[k] = drop or gone[parents[k]]
+    kept_runs = [(k, text) for k, text in runs if not gone[k]]
+    points: dict[int, float] = {}
+    for k, text in kept_runs:
+        g = gain_of(text)
+        up = parents[k] if tags[k] in PARAGRAPHS and k else k
         for share in (1, 2, 6, 9):
             if up < 0:
                 break
-            points[up] = points.get(up, 0) + gain / share
+            points[up] = points.get(up, 0.0) + g / share
             up = parents[up]
-    points = {k: v * (1 - linked[k] / max(1, own[k])) for k, v in points.items()}
-    if points:
-        best = max(points, key=lambda k: (points[k], k))
-    else:
-        best = next((k for t in ("article", "main", "body") for k, tag in enumerate(tags) if tag == t), 0)
-    whole = best
-    while whole >= 0 and tags[whole] not in ("article", "main"):
-        whole = parents[whole]
-    kept = []
-    if whole >= 0:
-        kept.append((whole, ends[whole]))
-    elif parents[best] < 0:
-        kept.append((best, ends[best]))
-    else:
-        close_to = max(10.0, 0.2 * points.get(best, 0))
-        k = parents[best] + 1
-        while k < ends[parents[best]]:
-            quiet = own[k] >= 80 and linked[k] < 0.25 * own[k]
-            if k == best or points.get(k, 0) >= close_to or tags[k] in PARAGRAPHS and quiet:
-                kept.append((k, ends[k]))
+    if not points:
+        return []
+    own, linked = own[:], linked[:]
+    total = [0.0] * n
+    for k, text in kept_runs:
+        total[k] += gain_of(text)
+    for k in range(n - 1, 0, -1):
+        if gone[k]:
+            own[k] = linked[k] = 0
+        own[parents[k]] += own[k]
+        linked[parents[k]] += linked[k]
+        total[parents[k]] += total[k]
+    dense = lambda k: linked[k] / max(1, own[k])
+    best = max(points, key=lambda k: (points[k] * (1 - dense(k)), k))
+    texts: dict[int, list[str]] = {}
+    for k, text in kept_runs:
+        texts.setdefault(k, []).append(text)
+    spoken, titled = [False] * n, [False] * n
+    for k in range(n - 1, 0, -1):
+        if not gone[k]:
+            spoken[k] |= any(SENTENCE.search(t) and not RIGHTS.match(t) for t in texts.get(k, ()))
+            titled[k] |= tags[k] == "h1" and k in texts
+            spoken[parents[k]] |= spoken[k]
+            titled[parents[k]] |= titled[k]
+    held = bytearray(n)
+    first = next((k for k, _ in kept_runs if best <= k < ends[best]), best)
+    path = -1 if tags[best] in ("body", "html") else best
+    if path >= 0:
+        held[best : ends[best]] = b"\1" * (ends[best] - best)
+    while path < 0 or parents[path] >= 0:
+        p = best if path < 0 else parents[path]
+        inside = in_article[p]
+        if texts.get(p) and (inside or path < 0 or dense(p) <= 0.5):
+            held[p] = 1
+        goes = True  # whether what follows a heading is kept
+        children = []
+        k = p + 1
+        while k < ends[p]:
+            children.append(k)
             k = ends[k]
-    dropped = [(k, ends[k]) for k, tag in enumerate(tags) if tag in ("ul", "ol", "dl", "table") and links[k] >= 3 and linked[k] > 0.8 * own[k]]
-    held = bytearray(len(tags))
-    for a, b in kept:
-        held[a:b] = b"\1" * (b - a)
-    end = 0
-    for a, b in dropped:  # in page order; those within one before are done
-        if b > end:
-            held[a:b] = bytes(b - a)
-            end = b
-    return "\n".join(text for k, text in runs if held[k])
+        for k in reversed(children):
+            if k == path:
+                goes = True
+                continue
+            if gone[k] or not total[k]:
+                continue
+            tag, rights = tags[k], any(RIGHTS.match(t) for t in texts.get(k, ()))
+            if inside:
+                keep = True
+            elif tag in HEADINGS:
+                keep = goes and not (path >= 0 and tag == "h1" and titled[best])
+            elif tag in CONTAINERS and tag not in ("p", "ul", "ol", "dl", "table"):
+                close = path < 0 or total[k] >= 0.2 * total[best] and dense(k) < 0.25
+                alike = path >= 0 and tag == tags[path] and names[k] == names[path]
+                keep = spoken[k] and dense(k) < 0.5 and (close or alike) or kinds[k] == IS_TOP and not titled[best] and tags[first] not in HEADINGS
+            else:
+                keep = dense(k) <= 0.5 and not rights and (spoken[k] or own[k] >= LEAST)
+            if tag not in HEADINGS:
+                goes = keep
+            if keep:
+                held[k : ends[k]] = b"\1" * (ends[k] - k)
+        path = p
+        if not p:
+            break
+    return [(k, text) for k, text in kept_runs if held[k]]
 
 
 def pages_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
