@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchgrid.functions import text as tx
-from watchgrid.operators import aggregate, baseline, detectors, episodes, issues, lifecycle
+from watchgrid.operators import aggregate, baseline, cards, detectors, episodes, issues, lifecycle
 from watchgrid.plans import sqlguard
 from watchgrid.sources import readers
 
@@ -92,8 +92,12 @@ def test_upsert_and_first_by(spark):
 def test_issue_parts(spark):
     details = '{"active_alarms": [{"alarm_id": "7"}], "downgrades": ["pcie0 x8 to x4"], "alerts": [{"card": "No1", "fields": [{"field": "temp"}]}]}'
     df = spark.createDataFrame([(details, "warning"), (details, "info"), ("{}", "error")], "d string, level string")
-    got = [r[0] for r in df.select(issues.exploded(F.col("d"), F.col("level"))).collect()]
-    assert got == [["alarm:7", "pcie:pcie0", "card:No1:temp"], ["alarm:7"], []]
+    ts = F.lit("2024-01-01").cast("timestamp_ntz")
+    keys = lambda o, any_level=False: [[i.key for i in r[0]] for r in df.select(issues.parts(F.lit(o), F.col("level"), F.lit("m"), F.col("d"), ts, any_level)).collect()]
+    assert keys("alarm_type") == [["alarm_type:7"], ["alarm_type:7"], []]
+    assert keys("pcie_bandwidth") == [["pcie_bandwidth:pcie0"], [], []]
+    assert keys("card_info") == [["card_info:No1:temp"], [], []] and keys("card_info", True)[1] == ["card_info:No1:temp"]
+    assert keys("cpu_usage") == [["cpu_usage"], [], ["cpu_usage"]] and keys("error_code") == [[], [], []] and keys("other") == [[], [], []]
 
 
 def test_text_functions(spark):
@@ -102,20 +106,32 @@ def test_text_functions(spark):
     t = F.col("t")
     got = df.select(
         tx.key_value(t, "name").alias("kv"), tx.key_value(t, "SPEED").alias("colon"), tx.pipe(t, "p2", r"\s+", -1).alias("pipe"), tx.pipe(t, "p2", r"\s+", 9).alias("far"),
-        tx.line_count(t, "^p").alias("n"), tx.masked(F.lit("abcdefg")).alias("masked"), tx.masked(F.lit("abc")).alias("short"), tx.human(F.lit(1536)).alias("human"),
+        tx.line_count(t, "^p").alias("n"), tx.masked(F.lit("abcdefg")).alias("masked"), tx.masked(F.lit("abc")).alias("short"),
         tx.slot_key(F.lit("04.40.00")).alias("slot"), tx.stamp(F.lit("x 2024-01-02 03:04:05 y")).alias("stamp"), F.array_join(tx.find_all(F.lit("a1 b2"), r"([a-z])(\d)", 2), "").alias("groups"),
         tx.moved(F.lit("3"), F.lit("2"), "increased").alias("up"), tx.moved(F.lit("3"), F.lit(None).cast("string"), "changed").alias("first"), tx.holds(F.lit("Abc"), "contains", "BC").alias("has"),
     ).first().asDict()
-    assert got == {"kv": "eth0", "colon": "10", "pipe": "7", "far": None, "n": 3, "masked": "ab***fg", "short": "***", "human": "1.5 KB", "slot": "4.40.0", "stamp": "2024-01-02 03:04:05", "groups": "a1b2", "up": True, "first": False, "has": True}
+    assert got == {"kv": "eth0", "colon": "10", "pipe": "7", "far": None, "n": 3, "masked": "ab***fg", "short": "***", "slot": "4.40.0", "stamp": "2024-01-02 03:04:05", "groups": "a1b2", "up": True, "first": False, "has": True}
     table = df.select(tx.table_cell(F.lit("port  state\np1  up"), "STA").alias("c")).first().c
     assert table == "up"
     assert tx.checked(spark, "(") and tx.checked(spark, "a+") is None
 
 
 def test_cards(spark):
-    text = "No01\nModel: X1\nState: ok\n-----\nNo02\nModel: Y\n-----\nnothing"
-    got = spark.createDataFrame([(text,)], "t string").select(tx.cards(F.col("t")).alias("c")).first().c
-    assert [(c.card, c.fields) for c in got] == [("No01", {"model": "X1", "state": "ok"}), ("No02", {"model": "Y"})]
+    text = "x: 0\nNo001 Model: X1\nModel: X2\nstate: a\nstate: b\n-----\nmodel: 9\nNo002\nModel: N/A\nNo003 BoardId=7\n\nNo003 CardNo: c9\n----"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "-----\n")], "k long, text string")
+    got = {r.card_no: r for r in cards.records(df, ["k"]).collect()}
+    assert set(got) == {"No001", "No002", "c9"} and {r.k for r in got.values()} == {1}
+    assert got["No001"].model == "X2" and got["No001"].raw == {"Model": "X2", "state": "b"} and got["No002"].model == "" and got["c9"].board_id == "7"
+    issues_of = {(r.card_no, r.field, r.level) for r in cards.assertions(cards.records(df, ["k"])).collect()}
+    assert ("No001", "running_state", "warning") in issues_of and ("No001", "model", "warning") not in issues_of
+
+
+def test_card_upsert_by_number(spark):
+    shape = "array_id long, board_id string, card_no string, running_state string, health_state string, model string"
+    held = spark.createDataFrame([(1, "b1", "n1", "", "", "old"), (1, "", "n2", "", "", "old"), (2, "b1", "n1", "", "", "old")], shape)
+    new = spark.createDataFrame([(1, "b1", "n9", "", "", "new", 1), (1, "b2", "n2", "", "", "new", 2), (1, "b2", "n7", "", "", "late", 3), (1, "", "", "", "", "x", 4), (1, "", "", "", "", "y", 5)], shape + ", block int")
+    got = sorted((r.array_id, r.board_id, r.card_no, r.model) for r in cards.upserted(held, new).collect())
+    assert got == [(1, "", "", "x"), (1, "", "", "y"), (1, "b1", "n9", "new"), (1, "b2", "n2", "new"), (2, "b1", "n1", "old")]
 
 
 @pytest.mark.parametrize(
@@ -139,6 +155,38 @@ def test_cards(spark):
         ("select id from alerts; drop table alerts", False),
         ("delete from alerts", False),
         ("sel", False),
+        ("SELECT id, message FROM alerts WHERE message LIKE '%drop%' OR message = 'select all items' OR message LIKE '%password%'", True),
+        ("SELECT observer_name, count(id) AS n FROM alerts GROUP BY observer_name", True),
+        ("SELECT id, upper(level) AS l, CASE WHEN id > 3 THEN 1 ELSE 0 END AS c FROM alerts WHERE id BETWEEN 1 AND 9 AND level IN ('a', 'b') AND message IS NOT NULL ORDER BY 1", True),
+        ("SELECT id, row_number() OVER (PARTITION BY level ORDER BY id) AS n FROM alerts", True),
+        ("select reflect('java.lang.System', 'getProperty', 'user.home') as x from alerts", False),
+        ("select java_method('java.lang.System', 'getProperty', 'user.home') as x from alerts", False),
+        ("select try_reflect('java.lang.System', 'getProperty', 'user.home') as x from alerts", False),
+        ("select input_file_name() as x from alerts", False),
+        ("select current_user() as x from alerts", False),
+        ("select spark_catalog.default.f(id) as x from alerts", False),
+        ("select alerts.password.x from alerts", False),
+        ("select a.`PassWord` from arrays a", False),
+        ("select password.x as y from arrays", False),
+        ("select a.id from alerts a join arrays b using (password)", False),
+        ("select a.id from alerts a join arrays b using (id)", True),
+        ("select id from alerts natural join arrays", False),
+        ("select id from alerts order by password", False),
+        ("select count(*) as n from alerts", True),
+        ("select id from range(5)", False),
+        ("select id from parquet.`/etc`", False),
+        ("select 1 as x", False),
+        ("select id from alerts, lateral (select password from arrays)", False),
+        ("select id from alerts lateral view explode(array(1)) t as x", False),
+        ("select transform(id) using 'cat' as x from alerts", False),
+        ("select id from alerts where exists (select 1 from arrays)", False),
+        ("select (select max(id) from arrays) as x from alerts", False),
+        ("select id from values (1) as t(id)", False),
+        ("select id from alerts intersect select id from arrays", False),
+        ("select id from alerts except select id from arrays", False),
+        ("update alerts set id = 1", False),
+        ("create table x as select id from alerts", False),
+        ("select /* comment */ id from alerts -- password", True),
     ],
 )
 def test_sql_guard(spark, sql, good):

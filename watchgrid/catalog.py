@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchgrid.functions import text as tx
 from watchgrid.operators import aggregate, baseline, detectors, episodes, issues, lifecycle, reads, rules, store, tasks
-from watchgrid.schema import NOW, SQL, acknowledgements, alerts, level_rank, micros, now, table
+from watchgrid.register import ORACLES, QUERIES, RANK_NAME, query  # noqa: F401
+from watchgrid.schema import NOW, acknowledgements, alerts, level_rank, log_lines, micros, now, table
 from watchgrid.schema import tasks as test_windows
 from watchgrid.sources import readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-RANK_NAME = "['info', 'warning', 'error', 'critical'][{} + 1]"
-
-
-def query(sql: str | None = None, raw: bool = False) -> Callable[[Query], Query]:
-    """Register a query under its function's name; sql is put behind the entities unless it is raw."""
-
-    def add(f: Query) -> Query:
-        name = f.__name__
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql if raw else f"WITH {SQL.strip()}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
-        return f
-
-    return add
-
-
 # Reads of the alert store
 
 
@@ -129,9 +108,9 @@ def ack_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(k, a["id"] == k["alert_id"]).groupBy("ack_type", "level").agg(F.count("*").alias("n"), F.min("acked_at").alias("first_acked"))
 
 
-@query("SELECT CAST(x AS BIGINT) AS id FROM range(0, 2000000, 50000) t(x) WHERE x NOT IN (SELECT id FROM alerts)")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM alerts)")
 def missing_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return store.missing(spark.range(0, 2_000_000, 50_000), alerts(spark, sf))
+    return store.missing(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), alerts(spark, sf))
 
 
 @query("SELECT CASE WHEN observer IN ('click', 'view') THEN 'interaction' WHEN observer = 'purchase' THEN 'commerce' WHEN observer IN ('login', 'signup', 'logout') THEN 'session' ELSE 'system' END AS category, count(*) AS n, max(ts) AS newest FROM alerts GROUP BY 1")
@@ -181,7 +160,7 @@ h AS (SELECT array_id, arg_min(first, place) AS lo, min(place) AS hi FROM s WHER
 SELECT array_id, count(*) AS size, min(ts) AS earliest, max(ts) AS latest, {RANK_NAME.format("max(rank)")} AS worst_level FROM o JOIN h USING (array_id) WHERE place BETWEEN lo AND hi GROUP BY 1"""
 )
 def storm_first_hit(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.storms(alerts(spark, sf), 86_400, 8)
+    return aggregate.storms(alerts(spark, sf), 86_400, 8).drop("first_id", "last_id")
 
 
 @query(f"SELECT array_id, details, count(*) AS size, min(ts) AS earliest, max(ts) AS latest, {RANK_NAME.format('max(rank)')} AS worst_level FROM alerts GROUP BY 1, 2 HAVING count(*) >= 2 AND epoch_us(max(ts)) - epoch_us(min(ts)) <= 432000000000")
@@ -204,16 +183,11 @@ def message_skeleton_fold(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.folded(alerts(spark, sf))
 
 
-@query(", e AS (SELECT array_id, observer, arg_min(k, (ts, id)) AS a, arg_max(k, (ts, id)) AS b FROM alerts GROUP BY 1, 2) SELECT array_id, observer, CAST(a AS DOUBLE) AS from_value, CAST(b AS DOUBLE) AS to_value FROM e WHERE a <> b")
+@query(", e AS (SELECT array_id, observer, arg_min(k, (ts, id)) AS a, arg_max(k, (ts, id)) AS b FROM alerts GROUP BY 1, 2) SELECT array_id, observer, CAST(a AS DOUBLE) AS from_value, CAST(b AS DOUBLE) AS to_value, '' AS unit FROM e WHERE a <> b")
 def message_progress(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.progress(alerts(spark, sf))
 
 
-@query()
-def aggregated_view(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.aggregated(alerts(spark, sf), 86_400, 8, ["array_id", "details"], 5 * 86_400, 6 * 3600)
-
-
 # Episodes and mined rules
 
 EPISODES = """b AS (SELECT *, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY array_id ORDER BY ts, id) > 14400000000 AS INT), 1) AS begins FROM alerts),
@@ -247,11 +221,17 @@ def causal_rule_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f""", {EPISODES}, ed AS (SELECT a.array_id, a.episode, a.observer, b.observer AS other FROM f a JOIN f b ON a.array_id = b.array_id AND a.episode = b.episode AND a.ts < b.ts JOIN ru ON ru.array_id = a.array_id AND antecedent = a.observer AND consequent = b.observer)
-SELECT array_id, CAST(episode AS BIGINT) AS episode, observer, CASE WHEN (array_id, episode, observer) IN (SELECT (array_id, episode, other) FROM ed) THEN 'consequence' WHEN (array_id, episode, observer) IN (SELECT (array_id, episode, observer) FROM ed) THEN 'root' ELSE 'isolated' END AS role FROM f"""
+SELECT array_id, CAST(episode AS BIGINT) AS episode, observer, CASE WHEN (array_id, episode) NOT IN (SELECT (array_id, episode) FROM ed) THEN 'isolated' WHEN (array_id, episode, observer) IN (SELECT (array_id, episode, other) FROM ed) THEN 'consequence' ELSE 'root' END AS role FROM f"""
 )
 def episode_roles(spark: SparkSession, sf: str) -> DataFrame:
-    a = alerts(spark, sf)
-    return episodes.roles(episodes.split(a, 4 * 3600), episodes.rules(a, 4 * 3600))
+    first = episodes.firsts(episodes.split(alerts(spark, sf), 4 * 3600))
+    return episodes.roles_of(first, episodes.scored(first))
+
+
+@query()
+def episode_tree(spark: SparkSession, sf: str) -> DataFrame:
+    first = episodes.firsts(episodes.split(alerts(spark, sf), 4 * 3600))
+    return episodes.tree(first, episodes.scored(first))
 
 
 # Baselines
@@ -274,12 +254,6 @@ def metric_spikes(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.spikes(alerts(spark, sf), ["array_id", "observer"], 5, 200.0).select("id", F.round("rise", 4).alias("rise"))
 
 
-@query("SELECT observer, sum(k) FILTER (WHERE k IS NOT NULL)::BIGINT AS total_k, count(k) AS n FROM alerts GROUP BY 1")
-def metric_extract(spark: SparkSession, sf: str) -> DataFrame:
-    held = alerts(spark, sf).select("observer", baseline.metrics(F.col("details"))["k"].alias("v"))
-    return held.groupBy("observer").agg(F.sum(F.col("v").cast("long")).alias("total_k"), F.count("v").alias("n"))
-
-
 @query("SELECT array_id, arg_max(value, (ts, id)) FILTER (WHERE observer = 'purchase') AS purchase, arg_max(value, (ts, id)) FILTER (WHERE observer = 'click') AS click FROM alerts GROUP BY 1")
 def latest_metric(spark: SparkSession, sf: str) -> DataFrame:
     held = alerts(spark, sf).select("array_id", "ts", "id", *[F.when(F.col("observer") == o, F.col("value")).alias(o) for o in ("purchase", "click")])
@@ -420,9 +394,9 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.diff(tasks.snapshot(a.where(F.col("ts") < cut)), tasks.snapshot(a.where(F.col("ts") >= cut)), ["array_id", "observer"])
 
 
-@query("SELECT CAST(x AS BIGINT) AS array_id, NOT EXISTS (SELECT 1 FROM alerts WHERE rank = 3 AND array_id = x) AS available FROM range(1, 200) t(x)")
+@query("SELECT c_custkey AS array_id, NOT EXISTS (SELECT 1 FROM alerts WHERE rank = 3 AND array_id = c_custkey) AS available FROM customer")
 def lock_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return tasks.conflicts(spark.range(1, 200).select(F.col("id").alias("array_id")), store.matching(alerts(spark, sf), level="critical"))
+    return tasks.conflicts(table(spark, sf, "customer").select(F.col("c_custkey").alias("array_id")), store.matching(alerts(spark, sf), level="critical"))
 
 
 @query("SELECT c_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1", raw=True)
@@ -446,20 +420,11 @@ def expectation_match(spark: SparkSession, sf: str) -> DataFrame:
     return rules.expected(tasks.within(alerts(spark, sf), test_windows(spark)), RULES).select("id", "task_id", "matched_rule_id", "is_expected")
 
 
-@query(
-    """, r AS (SELECT *, k % 10 = 0 AS recovered, row_number() OVER (PARTITION BY array_id, observer ORDER BY ts DESC, id DESC) AS rn FROM alerts),
-n AS (SELECT * FROM r WHERE rn = 1), p AS (SELECT * FROM r WHERE rn = 2)
-SELECT n.array_id, n.observer, n.id, n.level, n.message, CASE WHEN NOT p.recovered AND p.rank >= 1 THEN p.ts END AS since FROM n LEFT JOIN p ON n.array_id = p.array_id AND n.observer = p.observer
-WHERE NOT n.recovered AND n.rank >= 1 AND (n.id NOT IN (SELECT alert_id FROM acks) OR coalesce(p.recovered, false))"""
-)
-def active_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return issues.active(alerts(spark, sf).withColumn("recovered", F.col("k") % 10 == 0), acknowledgements(spark, sf))
-
-
-@query("SELECT alert_id, ack_type, CASE ack_type WHEN 'dismiss' THEN acked_at + INTERVAL 24 HOUR WHEN 'deferred' THEN acked_at + INTERVAL 72 HOUR END AS expires_at FROM acks")
+@query("SELECT alert_id, ack_type, h AS hours, CASE ack_type WHEN 'dismiss' THEN acked_at + INTERVAL 24 HOUR WHEN 'deferred' THEN acked_at + to_hours(coalesce(h, 72)) ELSE acked_at + to_hours(CASE WHEN h IN (2, 4, 6, 8, 12, 24) THEN h WHEN h IS NOT NULL THEN 24 END) END AS expires_at FROM (SELECT *, CAST(CASE WHEN alert_id % 5 = 0 THEN NULL ELSE alert_id % 25 END AS INT) AS h FROM acks)")
 def ack_expiry(spark: SparkSession, sf: str) -> DataFrame:
-    hours = F.lit(None).cast("int")
-    return acknowledgements(spark, sf).select("alert_id", "ack_type", lifecycle.expiry(F.col("ack_type"), F.col("acked_at"), hours).alias("expires_at"))
+    hours = F.when(F.col("alert_id") % 5 != 0, F.col("alert_id") % 25).cast("int")
+    held = acknowledgements(spark, sf).withColumn("hours", hours)
+    return held.select("alert_id", "ack_type", "hours", lifecycle.expiry(F.col("ack_type"), F.col("acked_at"), F.col("hours")).alias("expires_at"))
 
 
 @query(
@@ -473,20 +438,48 @@ def auto_ack(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.inherited(a, held, F.lit("2024-01-20").cast("timestamp_ntz")).select("id", "auto_ack", "expires_at")
 
 
-@query(f"SELECT array_id, max(ts) AS last_seen, CASE WHEN (epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts))) / 1000000.0 <= 7200 AND array_id % 5 <> 0 THEN 'healthy' WHEN array_id % 5 <> 0 THEN 'stale' ELSE 'stopped' END AS state FROM alerts GROUP BY 1")
+@query(
+    f""", s AS (SELECT array_id, max(ts) AS hb, max(ts) FILTER (WHERE observer = 'click') AS pu, array_id % 7 <> 0 AS connected, array_id % 11 <> 0 AS deployed, array_id % 5 <> 0 AS running FROM alerts GROUP BY 1),
+h AS (SELECT *, running AND (epoch_us(TIMESTAMP '{NOW}') - epoch_us(hb)) / 1000000.0 <= 7200 AS healthy FROM s)
+SELECT array_id, hb AS last_seen, 'heartbeat' AS health_source, healthy, CASE WHEN NOT connected THEN 'disconnected' WHEN running AND NOT healthy THEN 'degraded' ELSE 'connected' END AS state,
+CASE WHEN NOT connected THEN 'unreachable' WHEN NOT deployed THEN 'not_deployed' WHEN NOT running THEN 'agent_stopped' WHEN NOT healthy THEN 'no_heartbeat' ELSE 'ok' END AS collect_status FROM h"""
+)
 def runtime_status(spark: SparkSession, sf: str) -> DataFrame:
     push = F.max(F.when(F.col("observer") == "click", F.col("ts")))
-    seen = alerts(spark, sf).groupBy("array_id").agg(F.max("ts").alias("heartbeat_at"), push.alias("pushed_at")).withColumn("running", F.col("array_id") % 5 != 0)
-    return issues.runtime(seen, now(), 7200).select("array_id", "last_seen", "state")
+    seen = alerts(spark, sf).groupBy("array_id").agg(F.max("ts").alias("heartbeat_at"), push.alias("pushed_at"))
+    seen = seen.withColumns({"connected": F.col("array_id") % 7 != 0, "deployed": F.col("array_id") % 11 != 0, "running": F.col("array_id") % 5 != 0})
+    return issues.runtime(seen, now(), 7200).select("array_id", "last_seen", "health_source", "healthy", "state", "collect_status")
 
 
 # Lifecycle
 
 
-@query(", d AS (SELECT *, md5(concat_ws('|', observer, message)) AS digest FROM alerts) SELECT arg_min(id, (ts, id)) AS id, digest FROM d WHERE ts >= TIMESTAMP '2024-01-02' AND digest NOT IN (SELECT digest FROM d WHERE ts < TIMESTAMP '2024-01-02') GROUP BY digest")
+@query(", d AS (SELECT *, date_trunc('day', ts) AS d, md5(concat_ws('|', array_id, strftime(ts, '%Y-%m-%d'), observer, message)) AS digest FROM alerts) SELECT arg_min(id, (ts, id)) AS id, digest FROM d WHERE id % 3 > 0 AND digest NOT IN (SELECT digest FROM d WHERE id % 3 = 0) GROUP BY digest")
 def md5_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    a, cut = alerts(spark, sf), F.lit("2024-01-02").cast("timestamp_ntz")
-    return lifecycle.dedup_new(a.where(F.col("ts") >= cut), a.where(F.col("ts") < cut), ["observer", "message"]).select("id", "digest")
+    a = alerts(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return lifecycle.dedup_new(a.where("id % 3 > 0"), a.where("id % 3 = 0"), ["array_id", "day", "observer", "message"]).select("id", "digest")
+
+
+@query(", d AS (SELECT *, md5(concat_ws('|', array_id, strftime(ts, '%Y-%m-%d'), observer, message)) AS digest FROM alerts), n AS (SELECT count(*) AS seen FROM d WHERE id % 3 > 0), i AS (SELECT count(DISTINCT digest) AS imported FROM d WHERE id % 3 > 0 AND digest NOT IN (SELECT digest FROM d WHERE id % 3 = 0)) SELECT imported, seen - imported AS skipped FROM n, i")
+def sync_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    a = alerts(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return lifecycle.sync_counts(a.where("id % 3 > 0"), a.where("id % 3 = 0"), ["array_id", "day", "observer", "message"])
+
+
+@query(", p AS (SELECT *, strftime(ts, '%Y-%m-%d') || '_' || observer || '_' || left(message, 50) AS key FROM alerts), l AS (SELECT key FROM p WHERE id % 3 = 0 ORDER BY ts DESC, id DESC LIMIT 100) SELECT arg_min(id, (ts, id)) AS id FROM p WHERE id % 3 > 0 AND key NOT IN (SELECT key FROM l) GROUP BY key")
+def prefix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    a = alerts(spark, sf).withColumn("stamp", F.date_format("ts", "yyyy-MM-dd"))
+    return lifecycle.dedup_recent(a.where("id % 3 > 0"), a.where("id % 3 = 0"), "stamp", 100).select("id")
+
+
+@query(
+    """, o AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY ts, id) AS place FROM alerts),
+g AS (WITH RECURSIVE g AS (SELECT array_id, place, id, level, ts AS sent, level AS was, true AS goes FROM o WHERE place = 1
+UNION ALL SELECT n.array_id, n.place, n.id, n.level, CASE WHEN n.f THEN n.ts ELSE n.sent END, CASE WHEN n.f THEN n.level ELSE n.was END, n.f FROM (SELECT o.*, g.sent, g.was, o.ts - g.sent >= INTERVAL 24 HOUR AND o.level <> g.was AS f FROM g JOIN o ON o.array_id = g.array_id AND o.place = g.place + 1) n) SELECT * FROM g)
+SELECT id FROM g WHERE goes"""
+)
+def status_throttle(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.throttled(alerts(spark, sf), ["array_id"], 86_400, "level").select("id")
 
 
 @query(", h AS (SELECT array_id, observer, max(value) AS best, min(ts) AS seen FROM alerts WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2), n AS (SELECT array_id, observer, max(value) AS best, CAST(NULL AS TIMESTAMP) AS seen FROM alerts WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2) SELECT coalesce(h.array_id, n.array_id) AS array_id, coalesce(h.observer, n.observer) AS observer, coalesce(n.best, h.best) AS best, coalesce(n.seen, h.seen) AS seen FROM h FULL JOIN n ON h.array_id = n.array_id AND h.observer = n.observer")
@@ -548,15 +541,17 @@ def first_matching_line(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.first_line(F.col("text"), "[0-9]").alias("line"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(password|passwd|pwd)\s*[=:]\s*\S+', '\1=***', 'gi'), '(token|secret|api_?key)\s*[=:]\s*\S+', '\1=***', 'gi'), 'bearer\s+[A-Za-z0-9._-]+', 'bearer ***', 'gi')) AS digest FROM documents", raw=True)
-def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.redacted(F.col("text")).cast("binary")).alias("digest"))
+def in_sql(column: str) -> str:
+    """The redaction of a column in the checks' SQL."""
+    for pattern, instead in tx.SECRETS:
+        column = f"regexp_replace({column}, '{pattern}', '{instead.replace('$1', chr(92) + '1')}', 'g')"
+    return column
 
 
-@query(r", s AS (SELECT doc_id, unnest(regexp_extract_all(text, '(token|secret|api_?key)\s*[=:]\s*(\S+)', 2, 'i')) AS v FROM documents) SELECT doc_id, CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE left(v, 2) || repeat('*', length(v) - 4) || right(v, 2) END AS shown FROM s")
-def sensitive_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"(?i)(token|secret|api_?key)\s*[=:]\s*(\S+)"), F.lit(2))
-    return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("v")).select("doc_id", tx.masked(F.col("v")).alias("shown"))
+@query(f"SELECT doc_id AS id, md5({in_sql('text')}) AS digest FROM documents UNION ALL SELECT id, md5({in_sql('line')}) FROM loglines")
+def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").union(log_lines(spark, sf).select("id", "line"))
+    return rows.select("id", F.md5(tx.redacted(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(f", p AS (SELECT *, lag(k) {OVER} AS before FROM alerts) SELECT id FROM p WHERE k > before")
@@ -572,7 +567,7 @@ def rendered_messages(spark: SparkSession, sf: str) -> DataFrame:
     return store.matching(alerts(spark, sf), level="critical").select("id", said.alias("said"))
 
 
-@query()
+@query("SELECT count(*) FILTER (WHERE k < 50) AS alert, count(*) FILTER (WHERE k >= 50 AND k < 90) AS metrics, count(*) FILTER (WHERE k >= 90) AS error FROM alerts")
 def pushed_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     lines = alerts(spark, sf).select(F.to_json(F.struct(F.when(F.col("k") < 50, "alert").when(F.col("k") < 90, "metrics").alias("type"), "message")).alias("value"))
     return readers.outcomes(lines)
@@ -691,3 +686,6 @@ def cached_interpretations(spark: SparkSession, sf: str) -> DataFrame:
 def issue_list(spark: SparkSession, sf: str) -> DataFrame:
     issues = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
     return reads.issue_list(issues, "O").select("id", "created_at")
+
+
+from watchgrid import catalog_observers, catalog_text, catalog_views  # noqa: E402, F401

@@ -110,11 +110,14 @@ def rendered(template: str, **values: Column) -> Column:
     return out
 
 
-#: What is not shown of a message, and what stands there instead.
+#: What is not shown of a message, and what stands there instead.
 SECRETS = (
-    (r"(?i)(password|passwd|pwd)\s*[=:]\s*\S+", "$1=***"),
-    (r"(?i)(token|secret|api_?key)\s*[=:]\s*\S+", "$1=***"),
-    (r"(?i)bearer\s+[A-Za-z0-9._-]+", "bearer ***"),
+    (r"(?i)(password\s*[=:]\s*)\S+", "$1***"),
+    (r"(?i)(passwd\s*[=:]\s*)\S+", "$1***"),
+    (r"(?i)(secret\s*[=:]\s*)\S+", "$1***"),
+    (r"(?i)(token\s*[=:]\s*)\S+", "$1***"),
+    (r"(?i)(nqn\.[a-zA-Z0-9.\-:]+)", "nqn.***"),
+    (r"(?i)(iqn\.[a-zA-Z0-9.\-:]+)", "iqn.***"),
 )
 
 
@@ -124,38 +127,70 @@ def redacted(text: Column, patterns: Sequence[tuple[str, str]] = SECRETS) -> Col
     return text
 
 
+def redacted_values(values: Column) -> Column:
+    """A map of strings with each value redacted."""
+    return F.transform_values(values, lambda _, v: redacted(v))
+
+
 def masked(value: Column) -> Column:
-    """All of up to four characters, else all but two at either end."""
-    n = F.length(value)
-    return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(value, F.lit(2)), F.repeat(F.lit("*"), n - 4), F.right(value, F.lit(2))))
+    """Nothing of up to four characters, else two at either end."""
+    return F.when(F.length(value) <= 4, "***").otherwise(F.concat(F.left(value, F.lit(2)), F.lit("***"), F.right(value, F.lit(2))))
 
 
 def safe_number(value: Column, default: float) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(default))
 
 
+def safe_int(value: Column, default: int) -> Column:
+    return F.coalesce(F.trim(value).try_cast("bigint"), F.lit(default).cast("bigint"))
+
+
+#: The forms of a time in a log line, the first that matches counts.
+STAMPS = (r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})", r"([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})", r"\[(\d+\.\d+)\]")
+
+
 def stamp(line: Column) -> Column:
     """The first time in a line, in one of three formats, as text."""
-    forms = (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}", r"\w{3}\s+\d{1,2} \d{2}:\d{2}:\d{2}")
-    return F.coalesce(*[F.nullif(F.regexp_extract(line, f"({p})", 1), F.lit("")) for p in forms])
+    return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in STAMPS])
+
+
+def pairs(text: Column, separators: str = "=:") -> Column:
+    """Keys and values of the lines that have a separator, as a map; the first separator that a line has splits it.
+
+    Of lines with one key the last counts.
+    """
+    held = F.filter(lines(text), lambda x: x.rlike(f"[{separators}]"))
+    order = list(separators)
+
+    def at(x: Column) -> Column:
+        out = F.position(F.lit(order[-1]), x)
+        for s in reversed(order[:-1]):
+            out = F.when(x.contains(s), F.position(F.lit(s), x)).otherwise(out)
+        return out
+
+    entries = F.transform(held, lambda x: F.struct(F.trim(F.substring(x, F.lit(1), at(x) - 1)).alias("key"), F.trim(F.substring(x, at(x) + 1, F.length(x))).alias("value")))
+    entries = F.filter(entries, lambda e: e["key"] != "")
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def fields(text: Column, patterns: dict[str, str], groups: int = 1) -> Column:
+    """All matches of each named pattern, as a map of lists."""
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in patterns]), F.array(*[find_all(text, p, groups) for p in patterns.values()]))
 
 
-def human(size: Column) -> Column:
-    """A number of bytes for people."""
-    out = F.format_string("%.1f GB", size / 1024**3)
-    for limit, unit in ((1024**3, "MB"), (1024**2, "KB")):
-        out = F.when(size < limit, F.format_string(f"%.1f {unit}", size / (limit / 1024))).otherwise(out)
-    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(out)
+def condition(value: Column, found: Column, operator: str, operand: str = "") -> Column:
+    """A monitor's condition: found, not_found, gt, lt, eq or ne; a missing value counts as 0 among numbers."""
+    a, b = F.coalesce(value, F.lit("0")).try_cast("double"), F.lit(operand).try_cast("double")
+    tests = {"found": found, "not_found": ~found, "gt": a > b, "lt": a < b, "eq": F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(value == operand), "ne": F.when(a.isNotNull() & b.isNotNull(), a != b).otherwise(value != operand)}
+    return F.coalesce(tests[operator], F.lit(False))
 
 
 def slot_key(bus: Column) -> Column:
-    """A bus address without leading zeros in its parts."""
-    return F.array_join(F.transform(F.split(bus, r"\."), lambda p: F.coalesce(p.try_cast("int").cast("string"), p)), ".")
+    """A bus address without leading zeros in its parts, and without what stands before a colon."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(F.trim(bus), r"[()]|^.*:", ""), r"\."), lambda p: F.coalesce(p.try_cast("int").cast("string"), p)), ".")
 
 
-def cards(text: Column) -> Column:
-    """Blocks of a card listing: an array of (card, fields), fields by lower-case name."""
-    blocks = F.filter(F.split(text, r"(?m)^-{3,}\s*$"), lambda b: b.rlike(r"No0?\d+"))
-    pairs = lambda b: F.filter(F.split(b, "\r?\n"), lambda x: x.contains(":"))
-    fields = lambda b: F.map_from_entries(F.array_distinct(F.transform(pairs(b), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.substring(x, F.position(F.lit(":"), x) + 1, F.length(x)))))))
-    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"(No0?\d+)", 1).alias("card"), fields(b).alias("fields")))
+def blocked(name: Column, words: Sequence[str]) -> Column:
+    """Whether a name holds one of the words, case aside."""
+    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.lower(name).contains(w)) if words else F.lit(False)

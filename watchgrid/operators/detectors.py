@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from watchgrid.schema import micros
+from watchgrid.operators.passes import cooldown, gate, ordered_pass
+from watchgrid.schema import LEVELS, level_rank, micros
 
 RESET = 10_000_000
 
@@ -35,11 +37,36 @@ def rate(readings: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return readings.withColumn("s", seconds).withColumn("rate", F.when((F.col("s") > 0) & (grown >= 0), grown / F.col("s"))).drop("s")
 
 
-def change(readings: DataFrame, by: Sequence[str], state: str, down: Sequence[str] | None = None) -> DataFrame:
-    """Readings whose state differs from the one before; with down, those that enter one of these states."""
+def change(readings: DataFrame, by: Sequence[str], state: str, down: Sequence[str] | None = None, bad: Sequence[str] = ()) -> DataFrame:
+    """Readings whose state differs from the one before; with down, those that enter one of these states.
+
+    A reading in a bad state alerts whether or not it changed, the first one too; case doesn't matter.
+    """
     before = F.lag(state).over(ordered(by))
     differs = F.col(state) != F.col("previous")
-    return readings.withColumn("previous", before).where(differs & F.col(state).isin(*down) if down else differs)
+    if down:
+        differs = differs & F.col(state).isin(*down)
+    if bad:
+        differs = F.coalesce(differs, F.lit(False)) | F.lower(state).isin(*bad)
+    return readings.withColumn("previous", before).where(differs)
+
+
+#: States that alert in each cycle, and those of a disk that make an error of it.
+CONTROLLER_BAD = ("offline", "degraded", "fault", "absent")
+DISK_BAD = ("offline", "fault", "failed", "degraded", "rebuilding", "absent")
+DISK_ERROR = ("offline", "fault", "failed")
+
+
+def controllers(readings: DataFrame, by: Sequence[str] = ("array_id", "unit"), state: str = "state") -> DataFrame:
+    """Controllers that changed or are in a bad state, as errors."""
+    return change(readings, by, state, bad=CONTROLLER_BAD).withColumn("level", F.lit("error"))
+
+
+def disks(readings: DataFrame, by: Sequence[str] = ("array_id", "unit"), state: str = "state", cycle: Sequence[str] = ("array_id", "ts")) -> DataFrame:
+    """Disks that changed or are in a bad state; all of a cycle are errors if one of them is off, at fault or failed."""
+    found = change(readings, by, state, bad=DISK_BAD)
+    worst = F.max(F.lower(state).isin(*DISK_ERROR)).over(W.partitionBy(*cycle))
+    return found.withColumn("level", F.when(worst, "error").otherwise("warning"))
 
 
 def vanished(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,52 +140,75 @@ def level_of(value: Column, *limits: tuple[float, str]) -> Column:
 
 
 def cooled(reports: DataFrame, by: Sequence[str], seconds: float) -> DataFrame:
-    """Reports that go out: none within so many seconds of the last one that did.
+    """Reports that go out: none within so many seconds of the last one that did."""
+    return ordered_pass(reports, by, cooldown(seconds), "_goes", T.BooleanType()).where("_goes").drop("_goes")
 
-    Each depends on the last sent before it, so a key's moments are folded in order.
-    """
-    limit = int(seconds * 1_000_000)
-    moments = reports.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(micros(F.col("ts")).alias("us"), "id"))).alias("rows"))
-    none = F.array().cast("array<struct<us:bigint,id:bigint>>")
 
-    def step(acc: Column, row: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))["us"]
-        return F.when(last.isNull() | (row["us"] - last >= limit), F.concat(acc, F.array(row))).otherwise(acc)
+def reported(alerts: DataFrame, by: Sequence[str] = ("observer", "message"), seconds: float = 300, min_level: str = "info", sticky: str = "sticky") -> DataFrame:
+    """Alerts that a reporter sends: of min_level or worse, and cooled by key; a sticky one is sent always.
 
-    sent = moments.select(F.explode(F.aggregate("rows", none, step)).alias("s")).select("s.id")
-    return reports.join(sent, "id", "left_semi")
+    What is sent starts the cooldown anew, sticky or not.
+    """
+    held = alerts.where(level_rank(F.col("level")) >= LEVELS.index(min_level)).withColumn(sticky, F.coalesce(sticky, F.lit(False)))
+    return ordered_pass(held, by, cooldown(seconds, sticky), "_goes", T.BooleanType(), (sticky,)).where("_goes").drop("_goes")
 
 
-def consecutive_gate(checks: DataFrame, by: Sequence[str], flag: str, n: int, cooldown: float) -> DataFrame:
+def consecutive_gate(checks: DataFrame, by: Sequence[str], flag: str, n: int, seconds: float) -> DataFrame:
     """Checks that fire: the n-th in a row that holds, after which counting starts anew and rests for the cooldown."""
-    limit = int(cooldown * 1_000_000)
-    moments = checks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(micros(F.col("ts")).alias("us"), "id", F.col(flag).alias("flag")))).alias("rows"))
-    kind = "struct<run:int,last:bigint,out:array<bigint>>"
-    none = F.struct(F.lit(0).alias("run"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out")).cast(kind)
-
-    def step(acc: Column, row: Column) -> Column:
-        run = F.when(row["flag"], acc["run"] + 1).otherwise(0)
-        fires = (run >= n) & (acc["last"].isNull() | (row["us"] - acc["last"] >= limit))
-        return F.struct(F.when(fires, 0).otherwise(run).alias("run"), F.when(fires, row["us"]).otherwise(acc["last"]).alias("last"), F.when(fires, F.concat(acc["out"], F.array(row["id"]))).otherwise(acc["out"]).alias("out"))
-
-    fired = moments.select(F.explode(F.aggregate("rows", none, step, lambda acc: acc["out"])).alias("id"))
-    return checks.join(fired, "id", "left_semi")
+    held = checks.withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return ordered_pass(held, by, gate(n, seconds, flag), "_fires", T.BooleanType(), (flag,)).where("_fires").drop("_fires")
 
 
 def new_lines(before: Column, now: Column, exclude: str | None = None) -> Column:
     """Lines that weren't there before, without those that match exclude."""
-    fresh = F.array_except(now, before)
+    fresh = F.filter(now, lambda x: ~F.array_contains(before, x))
     return F.filter(fresh, lambda x: ~x.rlike(exclude)) if exclude else fresh
 
 
-def classified(lines: DataFrame, patterns: Sequence[tuple[str, str]], line: str = "line") -> DataFrame:
-    """Lines with the class of the first pattern that they match; others go."""
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(patterns):
-        kind = F.when(F.col(line).rlike(pattern), name).otherwise(kind)
-    return lines.withColumn("kind", kind).where("kind is not null")
-
-
 def backoff(failures: Column, interval: float, cap: float) -> Column:
     """Seconds until the next attempt after so many failures in a row."""
     return F.least(F.lit(float(interval)) * F.pow(F.lit(2.0), failures), F.lit(float(cap)))
+
+
+def failures(runs: DataFrame, by: Sequence[str], failed: Column, log_from: int = 3, alert_every: int = 10) -> DataFrame:
+    """Failed runs with their place in the streak: logged as errors from log_from on, alerting at every alert_every-th."""
+    order = ordered(by)
+    held = runs.withColumn("_failed", F.coalesce(failed, F.lit(False))).withColumn("_others", F.sum((~F.col("_failed")).cast("int")).over(order)).where("_failed")
+    held = held.withColumn("streak", F.row_number().over(W.partitionBy(*by, "_others").orderBy("ts", "id")).cast("bigint"))
+    return held.withColumn("logged", F.when(F.col("streak") >= log_from, "error").otherwise("warning")).withColumn("alerts", F.col("streak") % alert_every == 0).drop("_failed", "_others")
+
+
+def latched(readings: DataFrame, by: Sequence[str], value: str, threshold: float, count: int) -> DataFrame:
+    """hysteresis() as alerts: an error while it lasts, informative on recovery."""
+    return hysteresis(readings, by, value, threshold, count).withColumn("alert_level", F.when(F.col("event") == "recovered", "info").otherwise("error"))
+
+
+def leveled(readings: DataFrame, by: Sequence[str], value: str, limits: Sequence[tuple[float, str]]) -> DataFrame:
+    """Readings at or beyond a limit alert each time, at the highest one's level; the first below all has recovered."""
+    held = readings.withColumn("_level", F.nullif(level_of(F.col(value), *limits), F.lit("ok")))
+    before = F.lag("_level").over(ordered(by))
+    event = F.when(F.col("_level").isNotNull(), "alert").when(before.isNotNull(), "recovered")
+    return held.withColumn("event", event).where("event is not null").withColumn("alert_level", F.coalesce("_level", F.lit("info"))).drop("_level")
+
+
+def sustained_rate(readings: DataFrame, by: Sequence[str], value: str, per_second: float, cycles: int = 3) -> DataFrame:
+    """Rates of a counter that exceed a limit in this and all of the last cycles that are known, and the recovery."""
+    held = rate(readings, by, value).withColumn("_high", F.coalesce(F.col("rate") > per_second, F.lit(False)).cast("int"))
+    held = held.withColumn("_all", F.min("_high").over(ordered(by).rowsBetween(-(cycles - 1), 0)))
+    before = F.lag("_all").over(ordered(by))
+    event = F.when(F.col("_all") == 1, "alert").when(before == 1, "recovered")
+    return held.withColumn("event", event).where("event is not null").drop("_high", "_all")
+
+
+def fresh_lines(readings: DataFrame, by: Sequence[str], lines: str, exclude: str | None = None, few: int = 5) -> DataFrame:
+    """Readings with lines that the one before hadn't: a warning for a few of them, else an error."""
+    before = F.coalesce(F.lag(lines).over(ordered(by)), F.array().cast("array<string>"))
+    held = readings.withColumn("_before", before).withColumn("fresh", new_lines(F.col("_before"), F.col(lines), exclude)).drop("_before")
+    return held.where(F.size("fresh") > 0).withColumn("n", F.size("fresh")).withColumn("alert_level", F.when(F.col("n") <= few, "warning").otherwise("error"))
+
+
+def boots(readings: DataFrame, by: Sequence[str], uptime: str, slack: float = 60, young: float = 300) -> DataFrame:
+    """Reboots, where the uptime fell by more than slack, and first readings that are younger than young."""
+    held = readings.withColumn("previous", F.lag(uptime).over(ordered(by)))
+    event = F.when(F.col(uptime) < F.col("previous") - slack, "reboot").when(F.col("previous").isNull() & (F.col(uptime) < young), "first boot")
+    return held.withColumn("event", event).where("event is not null")

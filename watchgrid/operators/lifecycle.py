@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from watchgrid.operators.detectors import cooled
+from watchgrid.operators.passes import ordered_pass, throttle
 from watchgrid.schema import micros
 
 
@@ -24,6 +25,20 @@ def dedup_new(new: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame
     return first.join(held, "digest", "left_anti").select("r.*", "digest")
 
 
+def sync_counts(new: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many of new rows dedup_new() takes, and how many it skips."""
+    taken = dedup_new(new, held, keys).agg(F.count("*").alias("imported"))
+    return taken.crossJoin(F.broadcast(new.agg(F.count("*").alias("seen")))).select("imported", (F.col("seen") - F.col("imported")).alias("skipped"))
+
+
+def dedup_recent(new: DataFrame, held: DataFrame, stamp: str = "stamp", recent: int = 100) -> DataFrame:
+    """Of new rows the first of each prefix key that none of the most recent held rows has."""
+    key = prefix_key(F.col(stamp), F.col("observer"), F.col("message"))
+    last = held.orderBy(F.desc("ts"), F.desc("id")).limit(recent).select(key.alias("key")).distinct()
+    first = new.withColumn("key", key).groupBy("key").agg(F.min_by(F.struct(*new.columns), F.struct("ts", "id")).alias("r"))
+    return first.join(F.broadcast(last), "key", "left_anti").select("r.*")
+
+
 def prefix_key(ts: Column, observer: Column, message: Column, size: int = 50) -> Column:
     return F.concat_ws("_", ts, observer, F.left(message, F.lit(size)))
 
@@ -44,10 +59,8 @@ def upsert(held: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def throttled(updates: DataFrame, by: Sequence[str], seconds: float = 0.5, value: str = "value") -> DataFrame:
-    """Updates that differ from the one before and come no sooner than so long after the last sent."""
-    before = F.lag(value).over(W.partitionBy(*by).orderBy("ts", "id"))
-    fresh = updates.withColumn("previous", before).where(F.col("previous").isNull() | (F.col("previous") != F.col(value))).drop("previous")
-    return cooled(fresh, by, seconds)
+    """Updates that go out: no sooner than so long after the last sent, and of another value than that."""
+    return ordered_pass(updates, by, throttle(seconds, value), "_goes", T.BooleanType(), (value,)).where("_goes").drop("_goes")
 
 
 def expiry(ack_type: Column, acked_at: Column, hours: Column) -> Column:
@@ -73,10 +86,51 @@ def archive_split(alerts: DataFrame, active_from: Column, archive_from: Column)
     return alerts.withColumn("place", place).withColumn("year_month", F.date_format("ts", "yyyy-MM"))
 
 
+def by_month(alerts: DataFrame) -> DataFrame:
+    return alerts.withColumn("year_month", F.date_format("ts", "yyyy-MM"))
+
+
 def archive(alerts: DataFrame, path: str) -> None:
     """Write alerts by array and month; a later read of one of either opens no other files."""
-    held = alerts.withColumn("year_month", F.date_format("ts", "yyyy-MM"))
-    held.repartition("array_id", "year_month").write.mode("append").partitionBy("array_id", "year_month").parquet(path)
+    by_month(alerts).repartition("array_id", "year_month").write.mode("append").partitionBy("array_id", "year_month").parquet(path)
+
+
+def move_to_archive(hot: str, path: str, kept: str, active_from: Column, archive_from: Column, spark: SparkSession) -> None:
+    """Archive the alerts of the table at hot that are due, and write those that stay to kept.
+
+    Rows older than archive_from stay too: they are deleted by retention, not archived. The archive is written
+    first, so that a failure between the two leaves rows twice rather than nowhere; a rerun of a day is told apart
+    by reading the archive without the ids that hot still has.
+    """
+    rows = archive_split(spark.read.parquet(hot), active_from, archive_from)
+    archive(rows.where("place = 'archive'").drop("place", "year_month"), path)
+    rows.where("place <> 'archive'").drop("place", "year_month").write.mode("overwrite").parquet(kept)
+
+
+def archived(rows: DataFrame, array_ids: Sequence[int] = (), months: Sequence[str] = ()) -> DataFrame:
+    """The archive's rows of arrays and months, newest first; both are partitions, so no other files are opened."""
+    held = rows.where(F.col("array_id").isin(*array_ids)) if array_ids else rows
+    held = held.where(F.col("year_month").isin(*months)) if months else held
+    return held.orderBy(F.desc("ts"), F.desc("id"))
+
+
+def acknowledged(held: DataFrame, asked: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Acknowledgements with those asked for, unless their alert is acknowledged already or isn't there."""
+    first = asked.dropDuplicates(["alert_id"]).join(alerts, "alert_id", "left_semi").join(held, "alert_id", "left_anti")
+    return held.unionByName(first)
+
+
+def undone(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """Acknowledgements without those of the ids."""
+    return held.join(ids, "alert_id", "left_anti")
+
+
+def modified(held: DataFrame, ids: DataFrame, ack_type: str, hours: int | None = None) -> DataFrame:
+    """Acknowledgements, those of the ids with another type and end."""
+    marked = held.join(ids.distinct().withColumn("_m", F.lit(True)), "alert_id", "left")
+    kind = F.when(F.col("_m"), ack_type).otherwise(F.col("ack_type"))
+    ends = F.when(F.col("_m"), expiry(F.lit(ack_type), F.col("acked_at"), F.lit(hours).cast("int"))).otherwise(F.col("expires_at"))
+    return marked.withColumn("ack_type", kind).withColumn("expires_at", ends).drop("_m")
 
 
 def retained(rows: DataFrame, at: Column, seconds: float) -> DataFrame:

@@ -61,8 +61,52 @@ def tasks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "task_id int, name string, task_type string, array_ids array<bigint>, started string, ended string").select("task_id", "name", "task_type", "array_ids", F.col("started").cast("timestamp_ntz").alias("started_at"), F.col("ended").cast("timestamp_ntz").alias("ended_at"))
 
 
+#: What observers of the domain say, as expressions that Spark and the SQL of the checks share; OF names the observer.
+OF = """CASE k % 10 WHEN 0 THEN 'link_status' WHEN 1 THEN 'port_speed' WHEN 2 THEN 'card_info' WHEN 3 THEN 'pcie_bandwidth' WHEN 4 THEN 'cpu_usage'
+  WHEN 5 THEN 'memory_leak' WHEN 6 THEN 'alarm_type' WHEN 7 THEN 'error_code' WHEN 8 THEN 'port_error_code' ELSE 'disk_smart' END"""
+HOUR = "CAST(CASE WHEN id % 5 = 0 THEN 0 ELSE day(ts) * 24 + hour(ts) END AS STRING)"
+K = "CAST(k AS STRING)"
+SAYS = f"""CASE k % 10 WHEN 1 THEN 'ens' || {HOUR} || ' at ' || {K} || ' Gb' WHEN 3 THEN 'no' || {HOUR} || ' narrowed' ELSE observer || ' k=' || {K} END"""
+TELLS = f"""CASE WHEN k % 10 IN (4, 5, 7, 8) AND id % 4 = 0 THEN '{{"recovered":true}}'
+  ELSE CASE k % 10
+  WHEN 0 THEN '{{"changes":[{{"port":"ens' || {HOUR} || '"}}]}}'
+  WHEN 2 THEN '{{"alerts":[{{"card":"No' || {HOUR} || '","board_id":"' || CASE WHEN k < 50 THEN 'b' || {K} ELSE '' END || '","level":"error","fields":[{{"field":"Model","value":"x"}},{{"field":"HealthState","value":"bad","level":"warning"}}]}}]}}'
+  WHEN 3 THEN '{{"downgrades":["' || {K} || ':00.0 x16 to x8","other narrower"]}}'
+  WHEN 4 THEN '{{"current_percent":' || {K} || '}}'
+  WHEN 5 THEN '{{"current_rss_mb":' || {K} || ',"rss_growth_mb_per_hour":' || CAST(id % 7 AS STRING) || '}}'
+  WHEN 6 THEN '{{"active_alarms":[{{"alarm_id":"' || {K} || '","obj_type":"disk"}},{{"alarm_id":"9"}}]}}'
+  WHEN 7 THEN '{{"port_counters":{{"eth0":{{"rx":' || {K} || ',"tx":2}},"eth1":{{"rx":1}}}},"by_category":{{"pcie":' || CAST(id % 2 AS STRING) || '}}}}'
+  WHEN 8 THEN '{{"alerts":["a' || {K} || '","b","c","d"]}}'
+  ELSE '{{"items":[{{"current_pending":' || {K} || ',"value":3}}]}}' END END"""
+
+#: Log lines as the log detectors know them.
+LINE = f"""CASE k % 12
+  WHEN 0 THEN 'app' || CAST(array_id AS STRING) || '[' || CAST(id AS STRING) || ']: segfault at ' || {K}
+  WHEN 1 THEN 'Out of memory: Killed process ' || CAST(id AS STRING) || ' (worker)'
+  WHEN 2 THEN 'recv sig ' || CAST(k % 70 AS STRING) || ' then SIG' || CAST(id % 20 AS STRING) || ' and sig 61'
+  WHEN 3 THEN 'sda: Buffer I/O error on dev'
+  WHEN 4 THEN 'task abort on scsi error'
+  WHEN 5 THEN '2024-01-05 10:00:00 AlarmType:1 fault AlarmId:' || CAST(id % 3 AS STRING) || ' objType:disk'
+  WHEN 6 THEN '[12.5] alarmtype:2 Resume AlarmId:' || CAST(id % 3 AS STRING) || ' objType:disk'
+  WHEN 7 THEN 'AlarmType:0 event objType:fan'
+  WHEN 8 THEN 'Jan  5 10:00:00 Recover ChipErr dev(0:04.' || CAST(k % 40 AS STRING) || '.00)'
+  WHEN 9 THEN 'kernel BUG at mm, login password=Abc' || CAST(id AS STRING) || 'x'
+  WHEN 10 THEN 'enter password: token=tok' || CAST(id AS STRING)
+  ELSE 'send alarm type(' || CAST(k % 3 AS STRING) || ') alarm name(fan ' || {K} || ') alarm id(' || CAST(id % 5 AS STRING) || ') nqn.2014-08.org:x' || {K} END"""
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alerts as the observers of the domain would raise them."""
+    return alerts(spark, sf_dir).selectExpr("id", "array_id", f"{OF} AS observer", "level", f"{SAYS} AS message", f"{TELLS} AS details", "ts", "value", "k")
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, array_id, ts, k and line."""
+    return alerts(spark, sf_dir).selectExpr("id", "array_id", "ts", "k", f"{LINE} AS line")
+
+
 #: The same entities for the SQL of the checks.
-SQL = r"""
+SQL = rf"""
 alerts AS (
   SELECT event_id AS id, user_id AS array_id, event_type AS observer,
          CASE WHEN value >= 150 THEN 'critical' WHEN value >= 100 THEN 'error' WHEN value >= 50 THEN 'warning' ELSE 'info' END AS level,
@@ -77,5 +121,7 @@ tasks AS (
     (2, 'upgrade', 'upgrade', [1, 2, 3, 5, 8, 13], TIMESTAMP '2024-01-04 12:00:00', TIMESTAMP '2024-01-10 00:00:00'),
     (3, 'failover', 'fault_injection', [7, 14, 21], TIMESTAMP '2024-01-15 06:00:00', TIMESTAMP '2024-01-15 18:00:00'),
     (4, 'soak', 'stress', [100, 101, 102], TIMESTAMP '2024-01-20 00:00:00', NULL)
-  ) t(task_id, name, task_type, array_ids, started_at, ended_at))
+  ) t(task_id, name, task_type, array_ids, started_at, ended_at)),
+observed AS (SELECT id, array_id, {OF} AS observer, level, rank, {SAYS} AS message, {TELLS} AS details, ts, value, k FROM alerts),
+loglines AS (SELECT id, array_id, ts, k, {LINE} AS line FROM alerts)
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchgrid.schema import LEVELS
@@ -32,11 +33,11 @@ def read_alert_log(spark: SparkSession, path: str, since_days: int | None = None
     return parsed_alerts(reader.text(path)).where("ok").drop("ok")
 
 
-def parsed_traffic(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Traffic records with their defaults; records without a time go."""
+def parsed_traffic(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Traffic records with their defaults, and the columns to keep; records without a time go."""
     j = F.from_json(F.col(line), "timestamp string, port string, tx_bytes bigint, rx_bytes bigint, tx_rate double, rx_rate double, mode string, protocol string")
     default = lambda c, v: F.coalesce(j[c], F.lit(v)).alias(c)
-    return lines.select(j["timestamp"].try_cast("timestamp_ntz").alias("ts"), default("port", "unknown"), default("tx_bytes", 0), default("rx_bytes", 0), default("tx_rate", 0.0), default("rx_rate", 0.0), default("mode", "auto"), default("protocol", "ethernet")).where("ts is not null")
+    return lines.select(*keep, F.regexp_replace(j["timestamp"], "Z$", "").try_cast("timestamp_ntz").alias("ts"), default("port", "unknown"), default("tx_bytes", 0), default("rx_bytes", 0), default("tx_rate", 0.0), default("rx_rate", 0.0), default("mode", "auto"), default("protocol", "ethernet")).where("ts is not null")
 
 
 def pushed(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -60,14 +61,22 @@ def attributed(events: DataFrame, hosts: DataFrame) -> DataFrame:
 SYNONYMS = {"name": ("name", "array_name"), "host": ("host", "ip", "address"), "port": ("port", "ssh_port"), "username": ("username", "user")}
 
 
-def dimension(rows: DataFrame) -> DataFrame:
+def dimension(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a dimension file by field, whatever synonym its header uses; reason tells why a row is rejected."""
     there = {c.strip().lower(): c for c in rows.columns}
     field = lambda f: F.coalesce(*[F.nullif(F.trim(F.col(there[s])), F.lit("")) for s in SYNONYMS[f] if s in there], F.lit(None).cast("string"))
-    out = rows.select(field("name").alias("name"), field("host").alias("host"), field("port").try_cast("int").alias("port"), field("username").alias("username"))
+    out = rows.select(*keep, field("name").alias("name"), field("host").alias("host"), field("port").try_cast("int").alias("port"), field("username").alias("username"))
     return out.withColumn("port", F.coalesce("port", F.lit(22))).withColumn("reason", F.when(F.col("host").isNull(), "no host").when(~F.col("port").between(1, 65535), "bad port"))
 
 
+def imported(rows: DataFrame, known: DataFrame, order: str) -> DataFrame:
+    """dimension() with the duplicates marked: a host that is known already, or that a good line before has."""
+    held = dimension(rows, (order,)).join(known.select("host").distinct().withColumn("_known", F.lit(True)), "host", "left")
+    rn = F.row_number().over(W.partitionBy("host", F.col("reason").isNull()).orderBy(order))
+    again = F.when(F.col("_known"), "known host").when(rn > 1, "duplicate host")
+    return held.withColumn("reason", F.coalesce("reason", again)).drop("_known")
+
+
 def metrics(*parts: DataFrame) -> DataFrame:
     """Metrics of several sources together; a field that one lacks is null."""
     out = parts[0]
