@@ -63,7 +63,7 @@ ADDED = {
 }
 KEPT = {
     3000: "on 2024-01-05 and 05/12/2024 it was", 3001: "version 1.23.45678 came out", 3002: "paid by 4111.1111.1111.1112 then", 3003: "the order 2395558522 went out",
-    3004: "code a2395558522b and a4111111111111111", 3005: "we met at noon. Then we left at the dot", 3006: "see 399[.]20[.]30[.]40 for it", 3007: "items 1 . 2 . 3 . 4 are", 3008: "look at example.com for more",
+    3004: "code a2395558522b and a41111111111111b", 3005: "we met at noon. Then we left at the dot", 3006: "see 399[.]20[.]30[.]40 for it", 3007: "items 1 . 2 . 3 . 4 are", 3008: "look at example.com for more",
     3009: "it took 3.14159265 seconds",
 }
 
