@@ -245,13 +245,72 @@ def test_language_model(spark, docs, tmp_path):
     assert language_model.op7_language_model(spark, f"file://{tmp_path}").count() == 0
 
 
-def test_language_model_is_normalised():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((language_model.CONTEXTS, language_model.CLASSES))
-    counts[rng.integers(0, 100, 5000), rng.integers(0, 20, 5000)] = 3
-    model = language_model.train(counts)
-    assert np.allclose((10.0 ** model.astype(float)).sum(1), 1, atol=1e-4)
-    assert np.allclose((10.0 ** language_model.train(counts * 0).astype(float)).sum(1), 1, atol=1e-4)
+def known_of(often):
+    """What is known of made-up classes: the end, the buckets, then tokens with vectors of their own."""
+    noise = np.r_[np.ones(1 + language_model.BUCKETS), np.array(often, float) + 1]
+    return language_model.Known({}, np.zeros(1, np.int64), np.zeros(1), np.zeros(len(noise)), noise / noise.sum(), 0, 0)
+
+
+def test_language_model_learns_and_is_normalised(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "PART", 40)  # several tasks, whose vectors are averaged
+    own = 1 + language_model.BUCKETS
+    known = known_of([400] * 20)
+    total, counts = len(known.noise), collections.Counter()
+    for k in range(20):  # each token has one that follows it
+        near, to = own + k, own + (k * 7 + 3) % 20
+        for far in range(language_model.GROUPS):
+            counts[(near * language_model.GROUPS + far) * total + to] += 40
+            counts[(near * language_model.GROUPS + far) * total + own + (k + far) % 20] += 5
+    table = spark.createDataFrame(list(counts.items()), "cell long, n long")
+    model = language_model.train(table, known, 40)
+    every = np.arange(total)
+    for context in (0, own * language_model.GROUPS, total * language_model.GROUPS + 3):
+        assert abs((10.0 ** model.scores(np.full(total, context), every)).sum() - 1) < 1e-4
+    contexts, to = np.divmod(np.array(list(counts)), total)
+    n = np.array(list(counts.values()))
+    score, unigram = (n * model.scores(contexts, to)).sum() / n.sum(), (n * np.log10(known.noise[to])).sum() / n.sum()
+    assert score > unigram + 0.3
+    bare = language_model.train(table.limit(0), known)
+    assert np.allclose(10.0 ** bare.scores(np.full(total, 5), every), known.noise, atol=0.05) and abs((10.0 ** bare.scores(np.full(total, 5), every)).sum() - 1) < 1e-4
+
+
+def test_language_model_score_by_brute_force(spark, monkeypatch):
+    """Each token's probability by a loop over all classes."""
+    texts = ["the cat and the dog", "the the dog", None, "", "a cat the dog x1 x2", "The DOG and the cat"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "false held_out")
+    counts = docs.select("text").mapInArrow(language_model.count_tokens, "token binary, n long").groupBy("token").sum("n").toDF("token", "n").cache()
+    monkeypatch.setattr(language_model, "LEAST", 4)
+    known = language_model.know(counts)
+    table = language_model.gather(docs, known)
+    model = language_model.train(table, known, 3)
+    number, total, own = dict(((bytes(r.token), r.n) for r in counts.collect())), len(known.noise), 1 + language_model.BUCKETS
+    assert sum(r.n for r in table.collect()) == sum(number.values()) and len(known.noise) == own + sum(n >= 4 and t != b"" for t, n in number.items())
+
+    def brute(text):
+        words, classes, out = (text or "").lower().encode().split() + [b""], [], 0.0
+        for w in words:
+            near = classes[-1] if classes else total
+            far = 1 + classes[-2] % (language_model.GROUPS - 1) if len(classes) > 1 else 0
+            c = 0 if w == b"" else known.classes[known.place[w]] if w in known.place else 1 + language_model.bucket(w)
+            raw = [float((model.near[near] + model.far[far]) @ model.to[k] + model.bias[k]) for k in range(total)]
+            p = math.exp(raw[c]) / sum(map(math.exp, raw))
+            if 0 < c < own:
+                size = 1 + sum(n + 1 for t, n in number.items() if t and known.classes[known.place[t]] == c)
+                p *= (number.get(w, 0) + 1) / size
+            out += math.log10(p)
+            classes.append(c)
+        return out
+
+    for r in language_model.score(docs, counts, known, model).collect():
+        assert abs(r.score - brute(texts[r.doc_id])) < 1e-3
+
+
+def test_heavy_tokens_by_histogram(spark):
+    counts = spark.createDataFrame([(bytes([k]), 1 + k * k % 50) for k in range(200)], "token binary, n long")
+    for most in (0, 3, 50, 199, 200, 1000):
+        low = language_model.least_count(counts, most)
+        assert counts.where(f"n >= {low}").count() <= most
+    assert language_model.least_count(counts, 1000) == 1 and language_model.least_count(counts.limit(0), 5) > 1 << 60
 
 
 PAGE = """<html><head><title>x</title><style>a{}</style></head><body><header>Site, the, name</header><nav><a href=a>a</a></nav>
