@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ DIM, NOISE, SHARED, ROUNDS, RATE, START, BATCH = 32, 16, 256, 4, 0.08, 1.0, 4096
 PART = 1 << 20
 #: Different tokens that a task counts, and pairs that it holds, before it sends them on.
 COUNTED, HELD = 400_000, 1 << 21
+#: Bytes of text that are read together.
+TOGETHER = 1 << 17
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,25 +86,53 @@ class Known:
     tokens: int
     distinct: int
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of a text's tokens: place (-1: not there), class, and those that have no place."""
-        words = text.lower().split()
-        get = self.place.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        rare = np.flatnonzero(at < 0)
-        others = [words[k] for k in rare]
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Counter[bytes]]]:
+        """Of the tokens of texts, one text after the other, each with its end: place (-1: not there) and class.
+
+        Then where each text starts, and for each its tokens that have no place.
+        """
+        words: list[bytes] = []
+        ends = []
+        for text in texts:
+            words += text.lower().split()
+            words.append(END)
+            ends.append(len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         classes = self.classes[at]
-        classes[rare] = [1 + bucket(w) for w in others]
-        return np.r_[at, self.place.get(END, -1)], np.r_[classes, 0], others
+        others: list[Counter[bytes]] = [Counter() for _ in texts]
+        rare = np.flatnonzero(at < 0)
+        for k, text in zip(rare.tolist(), np.searchsorted(ends, rare, "right").tolist()):
+            word = words[k]
+            if word != END:
+                others[text][word] += 1
+            classes[k] = 1 + bucket(word) if word != END else 0
+        return at, classes, np.r_[0, ends[:-1]].astype(np.int64), others
 
 
-def contexts(classes: np.ndarray, total: int) -> np.ndarray:
-    """The context of each of a text's tokens: the class before it (total: none), and the group of the one before that."""
+def contexts(classes: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
+    """The context of each token of texts: the class before it (total: none), and the group of the one before that."""
     near = np.r_[total, classes[:-1]]
     far = np.r_[0, 0, 1 + classes[:-2] % (GROUPS - 1)][: len(classes)]
+    near[starts] = total
+    far[starts] = 0
+    far[np.minimum(starts + 1, len(far) - 1)] = 0  # a text's second token; where a text has none, the next one's first
     return near * GROUPS + far
 
 
+def in_parts(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of some TOGETHER bytes."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def least_count(counts: DataFrame, most: int = HEAVY) -> int:
     """From which count on there are at most so many tokens, by a histogram with some five hundred bars."""
     bar = F.floor(F.log2("n") * 8)
@@ -152,9 +183,9 @@ def gather(docs: DataFrame, known: Known) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column("text").cast(pa.large_binary()):
-                classes = shared.value.read(text.as_py() or b"")[1]
-                held.append(contexts(classes, total) * total + classes)
+            for texts in in_parts(t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())):
+                _, classes, starts, _ = shared.value.read(texts)
+                held.append(contexts(classes, starts, total) * total + classes)
                 size += len(classes)
                 if size > HELD:
                     yield rows(held)
@@ -162,7 +193,7 @@ def gather(docs: DataFrame, known: Known) -> DataFrame:
         if held:
             yield rows(held)
 
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return materialize(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pairs")
 
 
 @dataclass
@@ -216,10 +247,14 @@ def descend(model: Model, noise: np.ndarray, cells: np.ndarray, n: np.ndarray, r
         a, b = np.divmod(context, GROUPS)
         fake = np.searchsorted(by_noise, rng.random(SHARED), "right").clip(max=total - 1)
         sums = near[a] + far[b]
-        real = 1 / (1 + np.exp(shift[w] - bias[w] - np.einsum("ij,ij->i", sums, to[w])))
-        taken = 1 / (1 + np.exp(shift[fake] - bias[fake] - sums @ to[fake].T))
-        # up for real ones taken for noise, down for noise taken for real, as a mean over the batch's examples
-        up, down = (1 - real).astype(np.float32), (-NOISE / SHARED * taken).astype(np.float32)
+        # up for real ones taken for noise
+        up = (1 - 1 / (1 + np.exp(shift[w] - bias[w] - np.einsum("ij,ij->i", sums, to[w])))).astype(np.float32)
+        # down for noise taken for real
+        down = sums @ -to[fake].T
+        down += shift[fake] - bias[fake]
+        np.exp(down, out=down)
+        down += 1
+        np.divide(np.float32(-NOISE / SHARED), down, out=down)
         back = up[:, None] * to[w] + down @ to[fake]
         move(to, 2, np.r_[w, fake], np.concatenate([up[:, None] * sums, down.T @ sums]))
         move(bias, 3, np.r_[w, fake], np.r_[up, down.sum(0)])
@@ -308,14 +343,15 @@ def score(docs: DataFrame, counts: DataFrame, known: Known, model: Model) -> Dat
         known, model = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text in batch.column("text").cast(pa.large_binary()):
-                at, classes, others = known.read(text.as_py() or b"")
+            for texts in in_parts(t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())):
+                at, classes, starts, rare = known.read(texts)
                 logs = known.logs[at]
-                by_class = float(model.scores(contexts(classes, len(known.noise)), classes).sum(dtype=np.float64))
-                within = float(logs[(classes > 0) & (classes <= BUCKETS)].sum() - known.sizes[classes].sum())
-                rare = Counter(others)
-                for column, value in zip(out, (len(at), int((at >= 0).sum()), float(logs.sum()), by_class + within, list(rare.items()))):
-                    column.append(value)
+                each = model.scores(contexts(classes, starts, len(known.noise)), classes) - known.sizes[classes]
+                each += np.where((classes > 0) & (classes <= BUCKETS), logs, 0.0)
+                sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+                for column, values in zip(out, (np.diff(np.r_[starts, len(at)]), sums((at >= 0).astype(np.int64)), sums(logs), sums(each))):
+                    column += values.tolist()
+                out[4] += [list(r.items()) for r in rare]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
 
