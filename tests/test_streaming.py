@@ -40,10 +40,22 @@ def test_dedup(spark, tmp_path):
 def test_storms_and_deltas(spark, tmp_path):
     df = times(stream(spark, tmp_path / "a", [(1, s) for s in range(25)] + [(2, 100 * s) for s in range(25)], "array_id long, s long"))
     assert [(r.array_id, r.size) for r in run(jobs.storms(df), "storms")] == [(1, 20)]
-    df = times(stream(spark, tmp_path / "b", [("p", s, float(v)) for s, v in enumerate([1, 3, 3, 90_000_000, 90_000_001])], "key string, s long, value double"))
+    df = times(stream(spark, tmp_path / "b", [("p", s, float(v)) for s, v in enumerate([1, 3, 3, 90_000_000, 90_000_001], 1)], "key string, s long, value double"))  # a row at the epoch would be late
     assert [r.delta for r in run(jobs.counter_deltas(df), "deltas")] == [2.0, 1.0]
 
 
+def test_a_late_row_makes_no_storm(spark, tmp_path):
+    schema = "array_id long, s long"
+    df = times(stream(spark, tmp_path, [(1, 7200 + s) for s in range(19)] + [(2, s * 3) for s in range(18)], schema))
+    q = jobs.storms(df).writeStream.format("memory").queryName("late").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True)
+    q.start().awaitTermination()
+    assert spark.table("late").count() == 0
+    spark.createDataFrame([(1, 5000), (2, 52), (2, 1), (2, 2)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    run_again = jobs.storms(df).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp2").option("maxFilesPerTrigger", 1).trigger(availableNow=True)
+    run_again.start().awaitTermination()
+    assert [(r.array_id, r.size) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [(2, 20)]
+
+
 def test_merging(spark):
     seen = []
     each = jobs.merging(lambda df: seen.extend(map(tuple, df.collect())), ["k"])

@@ -31,46 +31,63 @@ def deduplicated(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
 def storms(alerts: DataFrame, seconds: float = 60, threshold: int = 20, late: str = "1 hour") -> DataFrame:
     """The moment of each array's first storm: threshold alerts within so many seconds.
 
-    State holds the moments of the last window, fewer than threshold of them, and goes once the watermark has
-    passed them by an hour; a later storm then counts as a first one.
+    Rows may come late: moments are kept in order, and a storm is any stretch of threshold of them that spans no more
+    than so long. State holds the moments that a row not yet too late can still meet, those of the watermark's last
+    window and after, and goes once the watermark has passed them by an hour; a later storm then counts as a first
+    one. An array that has fired keeps no moments.
     """
+    width = int(seconds * 1_000_000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent, fired = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
-        hits = []
+        moments, fired, newest = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], False, 0)
         for part in parts:
-            for at in sorted(part["ts"]):
-                us = int(at.timestamp() * 1_000_000)
-                recent = [u for u in recent if us - u <= seconds * 1_000_000][-(threshold - 1) :] + [us]
-                if len(recent) >= threshold and not fired:
-                    fired = True
-                    hits.append((key[0], at, len(recent)))
-        state.update((recent, fired))
-        state.setTimeoutTimestamp(max(recent[-1] // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
+            moments += [int(at.timestamp() * 1_000_000) for at in part["ts"]]
+        newest = max([newest, *moments])
+        moments.sort()
+        hits = []
+        if not fired:
+            end = next((k for k in range(threshold - 1, len(moments)) if moments[k] - moments[k - threshold + 1] <= width), None)
+            if end is not None:
+                fired = True
+                hits.append((key[0], pd.Timestamp(moments[end], unit="us"), threshold))
+        low = state.getCurrentWatermarkMs() * 1000 - width
+        moments = [] if fired else [m for m in moments if m >= low]
+        state.update((moments, fired, newest))
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(hits, columns=["array_id", "ts", "size"])
 
     held = alerts.withWatermark("ts", late).groupBy("array_id")
-    return held.applyInPandasWithState(run, "array_id long, ts timestamp, size long", "recent array<long>, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return held.applyInPandasWithState(run, "array_id long, ts timestamp, size long", "recent array<long>, fired boolean, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def counter_deltas(readings: DataFrame, threshold: float = 0, reset: float = 10_000_000) -> DataFrame:
-    """Growth of each counter beyond threshold; the first reading is silent and a jump beyond reset starts anew."""
+def counter_deltas(readings: DataFrame, threshold: float = 0, reset: float = 10_000_000, late: str = "1 hour", idle_hours: float = 24) -> DataFrame:
+    """Growth of each counter beyond threshold; the first reading is silent and a jump beyond reset starts anew.
+
+    A reading older than the last one taken is passed over. A counter that is silent for idle_hours is forgotten.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen = state.get if state.exists else (None, -1)
         out = []
-        for part in parts:
-            for row in part.sort_values("ts").itertuples():
-                if last is not None and threshold < row.value - last <= reset:
-                    out.append((key[0], row.ts, row.value - last))
-                last = float(row.value)
-        state.update((last,))
+        rows = sorted((int(r.ts.timestamp() * 1_000_000), float(r.value), r.ts) for part in parts for r in part.itertuples())
+        for us, value, ts in rows:
+            if us < seen:
+                continue
+            if last is not None and threshold < value - last <= reset:
+                out.append((key[0], ts, value - last))
+            last, seen = value, us
+        state.update((last, seen))
+        state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + int(idle_hours * 3_600_000))
         yield pd.DataFrame(out, columns=["key", "ts", "delta"])
 
-    return readings.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, delta double", "last double", "append", GroupStateTimeout.NoTimeout)
+    held = readings.withWatermark("ts", late).groupBy("key")
+    return held.applyInPandasWithState(run, "key string, ts timestamp, delta double", "last double, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merging(write: Callable[[DataFrame], None], keys: list[str]) -> Callable[[DataFrame, int], None]:
