@@ -13,6 +13,7 @@ from watchgrid.llm.html_extract import op8_html_extract
 from watchgrid.llm.language_id import op10_language_id
 from watchgrid.llm.language_model import op7_language_model
 from watchgrid.llm.packing import op5_packing
+from watchgrid.llm.periodic_runs import op12_periodic_runs
 from watchgrid.llm.pii import op4_pii
 from watchgrid.llm.quality_model import op3_quality_model
 from watchgrid.llm.quality_rules import op6_quality_rules
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
