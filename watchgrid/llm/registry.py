@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from watchgrid.llm.bpe import op2_bpe
+from watchgrid.llm.decontaminate import OP13_SQL, op13_decontaminate
 from watchgrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from watchgrid.llm.html_extract import op8_html_extract
 from watchgrid.llm.language_id import op10_language_id
@@ -31,9 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_decontaminate": op13_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op13_decontaminate": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
