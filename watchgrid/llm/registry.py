@@ -19,6 +19,7 @@ from watchgrid.llm.pii import op4_pii
 from watchgrid.llm.quality_model import op3_quality_model
 from watchgrid.llm.quality_rules import op6_quality_rules
 from watchgrid.llm.simhash import op1_simhash
+from watchgrid.llm.spelling import op11_spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_spelling": op11_spelling,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_decontaminate": op13_decontaminate,
     "pipeline": corpus_pipeline.run,
