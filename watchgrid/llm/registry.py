@@ -14,12 +14,12 @@ from watchgrid.llm.html_extract import op8_html_extract
 from watchgrid.llm.language_id import op10_language_id
 from watchgrid.llm.language_model import op7_language_model
 from watchgrid.llm.packing import op5_packing
-from watchgrid.llm.periodic_runs import op12_periodic_runs
+from watchgrid.llm.periodic_runs import OP12_SQL, op12_periodic_runs
 from watchgrid.llm.pii import op4_pii
 from watchgrid.llm.quality_model import op3_quality_model
 from watchgrid.llm.quality_rules import op6_quality_rules
 from watchgrid.llm.simhash import op1_simhash
-from watchgrid.llm.spelling import op11_spelling
+from watchgrid.llm.spelling import OP11_SQL, op11_spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -38,6 +38,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op13_decontaminate": OP13_SQL}
+ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_spelling": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_decontaminate": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -202,3 +202,38 @@ def variants(words: DataFrame, factor: int = FACTOR, heavy: int = HEAVY) -> Data
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(table(spark, sf_dir, "documents"), every=ALTERED))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce([k, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)
+), found AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents
+), runs AS (
+    SELECT w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS line FROM found GROUP BY doc_id, w
+), bytes AS (
+    SELECT w, n, list_concat([4294967295::BIGINT], list_transform(range(strlen(line)), lambda k: ('0x' || substr(hex(line), 2 * k + 1, 2))::BIGINT)) AS b FROM runs
+), sums AS (
+    SELECT w, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM sums)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), plain AS (
+    -- one byte a letter, so that edits of bytes are edits of letters
+    SELECT word, n, translate(word, (SELECT string_agg(chr(k::INT), '' ORDER BY k) FROM range(192, 256) r(k)), (SELECT string_agg(chr(k::INT), '' ORDER BY k) FROM range(33, 97) r(k))) AS p FROM words
+), pairs AS (
+    SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m
+    FROM (SELECT *, unnest([p[1:3] || '~', '~' || p[-3:]]) AS k FROM plain) a JOIN (SELECT *, unnest([p[1:3] || '~', '~' || p[-3:]]) AS k FROM plain) b USING (k)
+    WHERE abs(length(a.p) - length(b.p)) <= 1 AND a.p <> b.p AND levenshtein(a.p, b.p) = 1
+), best AS (SELECT word, count(*) AS n_near, min((-m, other)) AS best FROM pairs GROUP BY word),
+forms AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), follow AS (
+    SELECT word, word AS root FROM forms
+    UNION ALL SELECT follow.word, form FROM follow JOIN forms ON follow.root = forms.word WHERE form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT follow.word, root FROM follow JOIN forms f ON follow.root = f.word WHERE f.form IS NULL) USING (word)
+"""
