@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/watchgrid-{os.getuid()}"
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write's shuffle files go as soon as it is done, rather than when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -38,7 +52,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wg-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where.getParent())
@@ -60,11 +75,11 @@ ROW = ("_wg_file", "_wg_index")
 def with_row_key(df: DataFrame) -> DataFrame:
     """df with the two ROW columns, which name a row and stay the same however the scan is split or retried.
 
-    They are the file and the row's place in it; a frame that isn't read from files is written first.
+    They are a hash of the file's path and the row's place in it; a frame that isn't read from files is written first.
     """
     try:
         meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias(ROW[0]), meta["row_index"].alias(ROW[1]))
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
     except AnalysisException:
         return with_row_key(materialize(df, "rows"))
 

@@ -54,8 +54,9 @@ def with_names(rows: DataFrame, values: DataFrame) -> DataFrame:
     return held.join(names, columns, "left").withColumn("name", F.coalesce("hot", "name")).drop("hot")
 
 
-def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """(doc, blocks, name) for each row; doc is a struct of doc_id, sha, row and the key columns."""
+def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = (), block: int = BLOCK, made: list[DataFrame] | None = None) -> DataFrame:
+    """(doc, blocks, name) for each row; doc is a struct of doc_id, sha, row and the key columns. made gets the tables that it reads."""
+    made = [] if made is None else made
     held = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).cast("binary").alias("data"), *keys)
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / block)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.substring(F.col("data"), k * block + 1, F.lit(block)))
@@ -67,6 +68,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys
     now = materialize(with_names(rows.select("row", "blocks", "pos", "block", doc), pieces.select(F.explode(cut).alias("block"))).select("row", "blocks", F.col("blocks").alias("left"), "pos", "name", "doc"), "names")
     done = []
     while True:
+        made.append(now)
         done.append(now.where("left = 1").select("doc", "blocks", "name"))
         rest = now.where("left > 1")
         if rest.isEmpty():
@@ -81,18 +83,22 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys
         drop(pairs)
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs, and the key columns asked for."""
-    named = identities(docs, doc_id, text, keys, block).select("blocks", "name", "doc.*")
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = (), block: int = BLOCK, made: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs, and the key columns asked for. made gets the tables that it reads."""
+    made = [] if made is None else made
+    named = identities(docs, doc_id, text, keys, block, made).select("blocks", "name", "doc.*")
     first = named.groupBy("blocks", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("group_size"))
     first = materialize(first, "first")
+    made.append(first)
     return named.join(first, ["blocks", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *keys)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay."""
-    keyed = with_row_key(docs)
-    stays = exact_duplicates(keyed, keys=ROW).where("kept").select(*ROW)
+    keyed, made = with_row_key(docs), []
+    stays = materialize(exact_duplicates(keyed, keys=ROW, made=made).where("kept").select(*ROW), "stays")
+    for done in made:
+        drop(done)
     return keyed.join(stays, list(ROW), "left_semi").drop(*ROW)
 
 
