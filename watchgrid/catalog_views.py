@@ -91,14 +91,42 @@ def stale_acks(spark: SparkSession, sf: str) -> DataFrame:
     return issues.stale_acks(observed(spark, sf), acknowledgements(spark, sf))
 
 
+HELD = """, r AS (SELECT *, observer IN ('alarm_type', 'pcie_bandwidth', 'card_info') AS listing, observer NOT IN ('alarm_type', 'pcie_bandwidth', 'card_info') AND coalesce(contains(details, 'recovered'), false) AS rec
+  FROM observed WHERE observer IN ('alarm_type', 'pcie_bandwidth', 'card_info', 'cpu_usage', 'memory_leak', 'port_error_code', 'error_code')),
+h AS (SELECT *, json_extract_string(details, '$.alerts[0].card') AS card, json_extract_string(details, '$.alerts[0].board_id') AS board FROM r),
+keyed AS (SELECT *, CASE
+  WHEN observer = 'alarm_type' THEN list_transform(json_extract_string(details, '$.active_alarms[*].alarm_id'), lambda a: {'key': 'alarm_type:' || a, 'level': 'warning', 'message': 'AlarmId:' || a || ' objType:' || CASE WHEN a = '9' AND k <> 9 THEN '' ELSE 'disk' END})
+  WHEN observer = 'pcie_bandwidth' THEN list_transform(json_extract_string(details, '$.downgrades[*]'), lambda d: {'key': 'pcie_bandwidth:' || split_part(d, ' ', 1), 'level': level, 'message': d})
+  WHEN observer = 'card_info' THEN [
+    {'key': 'card_info:' || card || ':Model', 'level': 'error', 'message': 'card ' || card || CASE WHEN board <> '' THEN ' (BoardId:' || board || ')' ELSE '' END || ' Model=x'},
+    {'key': 'card_info:' || card || ':HealthState', 'level': 'warning', 'message': 'card ' || card || CASE WHEN board <> '' THEN ' (BoardId:' || board || ')' ELSE '' END || ' HealthState=bad'}]
+  WHEN NOT rec AND rank >= 1 AND (observer <> 'error_code' OR id % 2 = 1) THEN [{'key': observer, 'level': level, 'message': message}] ELSE [] END AS items FROM h),
+events AS (SELECT *, lead(ts) OVER (PARTITION BY array_id, observer ORDER BY ts, id) AS next FROM keyed WHERE listing OR rec OR len(items) > 0),
+held AS (SELECT array_id, observer, ts, id, next, unnest(items) AS i FROM events)"""
+
+
 @query(
-    """, r AS (SELECT *, coalesce(contains(details, 'recovered'), false) AS rec FROM observed WHERE observer IN ('cpu_usage', 'memory_leak', 'port_error_code', 'error_code')),
-c AS (SELECT array_id, observer, max((ts, id)) AS at FROM r WHERE rec GROUP BY 1, 2)
-SELECT r.array_id, r.observer, r.observer AS key, arg_max(level, (ts, id)) AS level, min(ts) AS since, max(ts) AS latest FROM r LEFT JOIN c ON r.array_id = c.array_id AND r.observer = c.observer
-WHERE NOT rec AND rank >= 1 AND (r.observer <> 'error_code' OR id % 2 = 1) AND (c.at IS NULL OR (r.ts, r.id) > c.at) GROUP BY 1, 2, 3"""
+    f"""{HELD}, c AS (SELECT array_id, observer, max((ts, id)) AS at FROM events WHERE rec GROUP BY 1, 2), n AS (SELECT array_id, observer, max((ts, id)) AS at FROM events WHERE listing GROUP BY 1, 2)
+SELECT held.array_id, held.observer, i.key AS key, CASE WHEN n.at IS NULL THEN arg_max(i.level, (ts, id)) ELSE arg_max(i.level, i.message) END AS level, min(ts) AS since, max(ts) AS latest
+FROM held LEFT JOIN c ON held.array_id = c.array_id AND held.observer = c.observer LEFT JOIN n ON held.array_id = n.array_id AND held.observer = n.observer
+WHERE (c.at IS NULL OR (ts, id) > c.at) AND (n.at IS NULL OR (ts, id) = n.at) GROUP BY 1, 2, 3, n.at"""
 )
 def issues_followed(spark: SparkSession, sf: str) -> DataFrame:
-    return issues.followed(observed(spark, sf)).where(~F.col("observer").isin(*issues.LISTING)).select("array_id", "observer", "key", "level", "since", "latest")
+    return issues.followed(observed(spark, sf)).select("array_id", "observer", "key", "level", "since", "latest")
+
+
+@query(f"{HELD} SELECT array_id, observer, i.key AS key, arg_max(next, (ts, id)) AS recovered_at FROM (SELECT *, coalesce(next, TIMESTAMP '1970-01-01') AS nx FROM held) GROUP BY 1, 2, 3 HAVING arg_max(nx, (ts, id)) > TIMESTAMP '1970-01-01'")
+def issue_recoveries(spark: SparkSession, sf: str) -> DataFrame:
+    return issues.recoveries(observed(spark, sf))
+
+
+@query(f"{HELD}, g AS (SELECT array_id, observer, arg_max((nx, i.key), (ts, id)) AS l FROM (SELECT *, coalesce(next, TIMESTAMP '1970-01-01') AS nx FROM held) GROUP BY 1, 2, i.key), o AS (SELECT array_id, observer, max(l[1]) AS recovered_at FROM g WHERE l[1] > TIMESTAMP '1970-01-01' GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY array_id, observer ORDER BY ts DESC, id DESC) AS rn FROM r), a AS (SELECT alert_id, acked_at - INTERVAL 3 DAY AS acked_at FROM acks) SELECT x.id AS alert_id FROM w x JOIN a ON a.alert_id = x.id LEFT JOIN w y ON y.array_id = x.array_id AND y.observer = x.observer AND y.rn = 2 LEFT JOIN o ON o.array_id = x.array_id AND o.observer = x.observer WHERE x.rn = 1 AND NOT coalesce(contains(x.details, 'recovered'), false) AND (coalesce(contains(y.details, 'recovered'), false) OR coalesce(x.observer = 'card_info' AND y.level = 'info', false) OR coalesce(o.recovered_at > a.acked_at, false))")
+def stale_acks_by_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Acknowledgements, three days before the alert, that a recovery recorded later takes back."""
+    found = observed(spark, sf)
+    given = acknowledgements(spark, sf).withColumn("acked_at", F.col("acked_at") - F.expr("interval 3 days"))
+    latest = issues.recoveries(found).groupBy("array_id", "observer").agg(F.max("recovered_at").alias("recovered_at"))
+    return issues.stale_acks(found, given, latest)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchgrid.operators.store import newest
@@ -118,6 +119,20 @@ def followed(alerts: DataFrame) -> DataFrame:
     return out.unionByName(one.select("array_id", "observer", "p.key", "p.level", "p.message", "since", "latest"))
 
 
+def recoveries(alerts: DataFrame) -> DataFrame:
+    """array_id, observer, key and recovered_at of each issue that was open and no longer is: the time of the first
+    alert of its observer after the last one that held it. For active(), recovered_at of an observer is its latest."""
+    listing = F.col("observer").isin(*LISTING)
+    found = parts(F.col("observer"), F.col("level"), F.coalesce("message", F.lit("")), F.col("details"), F.col("ts"), any_level=True)
+    keys = F.transform(found, lambda p: p["key"])
+    clears = ~listing & recovered(F.col("details"))
+    held = alerts.where(F.col("observer").isin(*OBSERVERS)).select("array_id", "observer", "ts", "id", F.when(clears, F.array().cast("array<string>")).otherwise(keys).alias("keys"), clears.alias("clears"))
+    # of an observer that doesn't list, alerts that neither open nor clear say nothing
+    held = held.where(listing | F.col("clears") | (F.size("keys") > 0)).withColumn("next", F.lead("ts").over(W.partitionBy("array_id", "observer").orderBy("ts", "id")))
+    last = held.select("array_id", "observer", "ts", "id", "next", F.explode("keys").alias("key")).groupBy("array_id", "observer", "key").agg(F.max_by("next", F.struct("ts", "id")).alias("recovered_at"))
+    return last.where("recovered_at is not null")
+
+
 def runtime(seen: DataFrame, at: Column, fresh_seconds: int = 120) -> DataFrame:
     """State of each array and of its collection, by its newest heartbeat or push.
 
