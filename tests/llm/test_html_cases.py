@@ -69,3 +69,38 @@ def test_pages_with_null_ids(spark):
     rows = [(None, None, CASES["comments"][0]), (None, "u", None), (7, "v", "")]
     got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {(r.page_id, r.url, r.text, r.n_chars) for r in got} == {(None, None, TEXT, len(TEXT)), (None, "u", "", 0), (7, "v", "", 0)}
+
+
+#: What names and shapes must not take away, and what they must.
+MORE = {
+    "opinion": (f'<body>{MENU}<article class="comment"><h1>Opinion</h1>{BODY}</article></body>', f"Opinion\n{TEXT}"),
+    "specs": (f'<body>{MENU}<div><section>{BODY}</section><section><h2>Specs</h2><p>Weight 5 kg</p></section></div></body>', f"{TEXT}\nSpecs\nWeight 5 kg"),
+    "specs2": (f'<body>{MENU}<section><h1>T</h1>{BODY}</section><section><h2>Specs</h2><p>Weight 5 kg</p></section></body>', f"T\n{TEXT}\nSpecs\nWeight 5 kg"),
+    "faq": (f'<body>{MENU}<h1>FAQ</h1><div class=q><h3>Is it hot?</h3>{BODY}</div><div class=q><h3>Is it cold?</h3><p>No</p></div></body>', f"FAQ\nIs it hot?\n{TEXT}\nIs it cold?\nNo"),
+    "byline": (f'<body>{MENU}<h1>Title</h1><div class="byline">By Ann Lee</div><div class="text">{BODY}</div></body>', f"Title\nBy Ann Lee\n{TEXT}"),
+    "standfirst": (f'<body>{MENU}<h1>Title</h1><p class="standfirst">A short summary without a stop</p><div class="text">{BODY}</div></body>', f"Title\nA short summary without a stop\n{TEXT}"),
+    "sources": (f'<body>{MENU}<div class="text">{BODY}</div><h2>Sources</h2><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></body>', f"{TEXT}\nSources\nOne\nTwo"),
+    "copyright law": (f'<body>{MENU}<div class="text">{BODY}</div><p>Copyright law is old, and it has changed very often since then.</p></body>', f"{TEXT}\nCopyright law is old, and it has changed very often since then."),
+    "copyright law art": (f'<body>{MENU}<article>{BODY}<p>Copyright law is old</p></article></body>', f"{TEXT}\nCopyright law is old"),
+    "promotion": (f'<body>{MENU}<article><h1>T</h1>{BODY}<section class="promotion"><h2>Promotion</h2>{BODY}</section></article></body>', f"T\n{TEXT}\nPromotion\n{TEXT}"),
+    "id copyright": (f'<body>{MENU}<article>{BODY}<section id="copyright"><h2>C</h2>{BODY}</section></article></body>', f"{TEXT}\nC\n{TEXT}"),
+    "id navigation": (f'<body>{MENU}<article>{BODY}<div id="navigation"><h2>C</h2>{BODY}</div></article></body>', f"{TEXT}\nC\n{TEXT}"),
+    "footer rights": (f'<body>{MENU}<div>{BODY}</div><p>Copyright 2021 Some Owner, all rights reserved.</p></body>', TEXT),
+    "shape": (f'<body>{MENU}<article>{BODY}<h3>3 responses</h3><div class=x><b>Ann</b> <time>1 May</time><p>{P1}</p></div><div class=x><b>Bob</b> <time>2 May</time><p>{P3}</p></div></article></body>', TEXT),
+    "shape2": (f'<body>{MENU}<div class=t>{BODY}</div><ul class=y><li><a href=u>Ann</a> 3 hours ago<p>{P1}</p><a href=r>Reply</a></li><li><a href=u>Bob</a> 2 hours ago<p>{P2}</p><a href=r>Reply</a></li></ul></body>', TEXT),
+    "live": (f'<body>{MENU}<article><h1>Live</h1><div class=u><time>10:05</time><p>{P1}</p></div><div class=u><time>10:20</time><p>{P2}</p></div></article></body>', f"Live\n10:05\n{P1}\n10:20\n{P2}"),
+}
+OUT = "comment-body user-comments reader-comments comment-thread fb-comments disqus_thread google-ad ad-300x250 dfp-ad advert-mpu legal-notice privacy-notice alert-bar share-tools left-rail".split()
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_evidence(name):
+    page, text = MORE[name]
+    assert html_extract.extract(page) == text
+
+
+@pytest.mark.parametrize("name", OUT)
+@pytest.mark.parametrize("page", ["<body>{}<article>{}{}</article></body>", "<body>{}<div class=post>{}</div>{}</body>"])
+def test_compound_names(name, page):
+    for attribute in ("class", "id"):
+        assert html_extract.extract(page.format(MENU, BODY, f'<div {attribute}="{name}"><p>{P3}</p></div>')) == TEXT

@@ -8,9 +8,12 @@ All of it is kept, and of its ancestors those other children that go with it: wi
 headings and paragraphs, containers of the same make with sentences in them, and containers that score close to it.
 
 Names only suggest. A class or id counts if one of its tokens consists of a word for what isn't main text (ad,
-sidebar, comments, ...) and words without meaning of their own (box, wrapper, list, ...), on containers alone. Even
-then a container stays where next to nothing would be left without it. Words that articles use too (related, social,
-...) need a container without long plain paragraphs besides. A header stays within the kept part if it has a heading
+sidebar, comments, ...) and words without meaning of their own (box, wrapper, list, body, user, ...), on containers
+alone. Even then a container stays where next to nothing would be left without it, and so does one named as comments
+that holds the title and most of the page. A single word that an article may be about (promotion, copyright, ...)
+doesn't count against a section of prose in an article. Words that articles use too (related, social, ...) need a
+container without long plain paragraphs besides. Without names, readers' comments are siblings of one make, each with
+a time, that offer answers or follow a heading of comments. A header stays within the kept part if it has a heading
 and no menu, a form if half of the page's points are in it; its controls go.
 
 Defined results: a null or empty page, and one without main text, gives the empty text. A page without any tags
@@ -55,9 +58,13 @@ OUT_ROLES = set("navigation banner contentinfo complementary search dialog alert
 STRONG = set(
     """ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu submenu
     breadcrumb breadcrumbs pagination pager masthead topbar footer bottombar sidebar aside notice notices cookie cookies consent gdpr popup modal overlay
-    newsletter subscribe subscription signup login share sharing outbrain taboola recirculation copyright skip""".split()
+    newsletter subscribe subscription signup login share sharing outbrain taboola recirculation copyright skip alert rail""".split()
 )
+#: Those of them that a section of an article may be about as well.
+TOPICS = set("advertising promotion navigation menu notice notices cookie cookies consent subscription sponsor sponsors share sharing copyright alert rail aside popup modal overlay sidebar footer".split())
 COMMENTS = set("comment comments commentlist disqus respond reply replies".split())
+#: Words that go with these names and mean nothing against them.
+QUALIFIERS = set("body user users reader readers fb facebook google dfp gpt mpu x thread threads tool tools legal privacy native display inline unit visitor visitors public".split())
 WEAK = set("social related recommended recommendations widget widgets discussion hidden toolbar".split())
 TOPS = set("header banner".split())
 #: Words that say nothing of what a container holds, and those that turn the word after them.
@@ -71,11 +78,18 @@ TURNS = set("has with no without is not non hide".split())
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 SENTENCE = re.compile(r"[.!?:;…。！？»”\"')]$")
-RIGHTS = re.compile(r"(?i)(?:©|\(c\)|copyright\b)")
+RIGHTS = re.compile(r"(?i)(?:©|\(c\)\s*(?:19|20)?\d\d|\(c\)\s.{0,60}$|copyright\s*(?:©|\(c\)|(?:19|20)\d\d)|all rights reserved)")
+#: A heading of links that belong to the text, and one of readers' comments; what stands in a comment besides its text.
+SOURCES = re.compile(r"(?i)\W*(?:sources?|references?|(?:foot|end)?notes?|citations?|works cited|bibliography|further reading|literature|see also)\W*$")
+SPEAKS = re.compile(r"(?i)\b(?:comments?|responses?|replies|discussion|reader reactions?|what readers say)\b")
+WHEN = re.compile(r"(?i)\b(?:\d+\s*(?:min(?:ute)?s?|h(?:ou)?rs?|days?|weeks?|months?|years?|[mhdwy])\s+ago|\d{1,2}:\d\d|(?:19|20)\d\d-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2})\b")
+ANSWER = re.compile(r"(?i)^\W*(?:reply|answer|like|report|flag|upvote|quote)\b.{0,20}$")
 LEAST, LONG = 25, 100
+#: Letters of prose beyond which a name that may be a topic is taken for one.
+PROSE = 250
 
 #: What an element is before its contents are known.
-PLAIN, HARD, IS_STRONG, IS_COMMENT, IS_WEAK, IS_TOP, IS_FORM = range(7)
+PLAIN, HARD, IS_STRONG, IS_COMMENT, IS_WEAK, IS_TOP, IS_FORM, IS_TOPIC = range(8)
 
 
 def by_name(tag: str, names: str) -> int:
@@ -90,10 +104,14 @@ def by_name(tag: str, names: str) -> int:
         meant = [w for w in words if w not in NEUTRAL]
         if not meant:
             continue
-        if all(w in COMMENTS for w in meant):
+        named = [w for w in meant if w not in QUALIFIERS]
+        if named and all(w in COMMENTS for w in named):
             return IS_COMMENT
-        if any(w in STRONG for w in meant) and all(w in STRONG or w in COMMENTS or w in TOPS or w in WEAK for w in meant):
-            return IS_STRONG
+        if any(w in STRONG for w in named) and all(w in STRONG or w in COMMENTS or w in TOPS or w in WEAK for w in named):
+            if len(words) > 1 or words[0] not in TOPICS:
+                return IS_STRONG
+            found = found or IS_TOPIC
+            continue
         if all(w in TOPS for w in meant):
             found = IS_STRONG if SITE & set(words) else IS_TOP
         elif all(w in WEAK or w in TOPS for w in meant) and tag != "p":
@@ -266,20 +284,68 @@ def gain_of(text: str) -> float:
     return 1 + text.count(",") + min(len(text) // 100, 3) if len(text) >= LEAST else len(text) / LEAST / 2
 
 
+def comments_by_shape(tags: list[str], parents: list[int], names: list[str], runs: list[tuple[int, str]]) -> set[int]:
+    """Elements that are readers' comments by their shape: siblings of one make, two or more, each with a time and
+    without a heading, that all offer an answer or follow a heading of comments."""
+    texts: dict[int, list[str]] = {}
+    timed, headed = set(), set()
+    for k, text in runs:
+        texts.setdefault(k, []).append(text)
+    for k, tag in enumerate(tags):
+        if tag == "time" or any(len(t) < LONG and WHEN.search(t) for t in texts.get(k, ())):
+            up = k
+            while up > 0 and up not in timed:
+                timed.add(up)
+                up = parents[up]
+        if tag in HEADINGS:
+            up = k
+            while up > 0 and up not in headed:
+                headed.add(up)
+                up = parents[up]
+    if not timed:
+        return set()
+    answers = set()
+    for k, said in texts.items():
+        if any(ANSWER.match(t) or len(t) < LONG and ANSWER.search(t.rsplit("·", 1)[-1].rsplit("|", 1)[-1]) for t in said):
+            up = k
+            while up > 0 and up not in answers:
+                answers.add(up)
+                up = parents[up]
+    groups: dict[tuple[int, str, str], list[int]] = {}
+    speaks: dict[int, int] = {}
+    for k in range(1, len(tags)):
+        if tags[k] in HEADINGS and any(len(t) < LONG and SPEAKS.search(t) for t in texts.get(k, ())):
+            speaks.setdefault(parents[k], k)
+        if tags[k] in CONTAINERS and k in timed and k not in headed:
+            groups.setdefault((parents[k], tags[k], names[k]), []).append(k)
+    found: set[int] = set()
+    for (parent, *_), members in groups.items():
+        # the heading stands before them, beside them or beside the list that holds them
+        heads = [h for h in (speaks.get(parent), speaks.get(parents[parent]) if parent else None) if h is not None and h < members[0]]
+        if len(members) > 1 and (heads or all(k in answers for k in members)):
+            found.update(members)
+            found.update(heads)
+    return found
+
+
 def choose(tags: list[str], parents: list[int], ends: list[int], kinds: list[int], names: list[str], in_article: list[bool], own: list[int], linked: list[int], runs: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The runs that are main text. Elements are numbered in page order; ends has the number after an element's last descendant."""
     n = len(tags)
     gain, clean, longest = [0.0] * n, 0.0, [0] * n
     doubtful = [False] * n
     for k in range(1, n):
-        doubtful[k] = doubtful[parents[k]] or kinds[k] in (IS_STRONG, IS_COMMENT)
+        doubtful[k] = doubtful[parents[k]] or kinds[k] in (IS_STRONG, IS_COMMENT, IS_TOPIC)
     for k, text in runs:
         g = gain_of(text)
         gain[k] += g
         clean += 0.0 if doubtful[k] else g
         if own[k] and linked[k] <= own[k] // 2:
             longest[k] = max(longest[k], len(text))
-    headed, menus = [t in HEADINGS for t in tags], [t == "nav" or k == IS_STRONG for t, k in zip(tags, kinds)]
+    headed, menus = [t in HEADINGS for t in tags], [t == "nav" or k in (IS_STRONG, IS_TOPIC) for t, k in zip(tags, kinds)]
+    titles, prose = [t == "h1" for t in tags], [0] * n
+    for k, text in runs:
+        if len(text) >= LONG and linked[k] <= own[k] // 2:
+            prose[k] += len(text)
     total, share_own, share_linked = gain[:], own[:], linked[:]
     for k in range(n - 1, 0, -1):
         p = parents[k]
@@ -289,14 +355,23 @@ def choose(tags: list[str], parents: list[int], ends: list[int], kinds: list[int
         longest[p] = max(longest[p], longest[k])
         headed[p] |= headed[k]
         menus[p] |= menus[k]
+        titles[p] |= titles[k]
+        prose[p] += prose[k]
+    spoken_of = comments_by_shape(tags, parents, names, runs)
     dense = lambda k: share_linked[k] / max(1, share_own[k])
     gone = bytearray(n)
     for k in range(1, n):
         kind, drop = kinds[k], False
         if kind == IS_COMMENT:
+            # what holds the page's title and most of its text is a piece of opinion
+            drop = not (titles[k] and total[k] >= 0.5 * total[0])
+        elif k in spoken_of:
             drop = True
         elif kind == IS_STRONG:
             drop = clean >= 0.1 * total[k]
+        elif kind == IS_TOPIC:
+            # a section of prose about it, in an article, or a box that is named for what it is
+            drop = clean >= 0.1 * total[k] and not (in_article[k] and prose[k] >= PROSE and dense(k) < 0.3)
         elif kind == IS_WEAK:
             drop = longest[k] < LONG or dense(k) > 0.5
         elif kind == IS_TOP:
@@ -335,7 +410,7 @@ def choose(tags: list[str], parents: list[int], ends: list[int], kinds: list[int
     spoken, titled = [False] * n, [False] * n
     for k in range(n - 1, 0, -1):
         if not gone[k]:
-            spoken[k] |= any(SENTENCE.search(t) and not RIGHTS.match(t) for t in texts.get(k, ()))
+            spoken[k] |= any(SENTENCE.search(t) and not (len(t) < 2 * LONG and RIGHTS.match(t)) for t in texts.get(k, ()))
             titled[k] |= tags[k] == "h1" and k in texts
             spoken[parents[k]] |= spoken[k]
             titled[parents[k]] |= titled[k]
@@ -355,13 +430,20 @@ def choose(tags: list[str], parents: list[int], ends: list[int], kinds: list[int
         while k < ends[p]:
             children.append(k)
             k = ends[k]
+        after = None  # the heading that a child follows
+        title = {}
+        for k in children:
+            title[k] = after
+            if not gone[k] and total[k]:
+                after = k if tags[k] in HEADINGS else None
         for k in reversed(children):
             if k == path:
                 goes = True
                 continue
             if gone[k] or not total[k]:
                 continue
-            tag, rights = tags[k], any(RIGHTS.match(t) for t in texts.get(k, ()))
+            tag, rights = tags[k], any(len(t) < 2 * LONG and RIGHTS.match(t) for t in texts.get(k, ()))
+            quiet = dense(k) < 0.1 and not rights
             if inside:
                 keep = True
             elif tag in HEADINGS:
@@ -369,9 +451,10 @@ def choose(tags: list[str], parents: list[int], ends: list[int], kinds: list[int
             elif tag in CONTAINERS and tag not in ("p", "ul", "ol", "dl", "table"):
                 close = path < 0 or total[k] >= 0.2 * total[best] and dense(k) < 0.25
                 alike = path >= 0 and tag == tags[path] and names[k] == names[path]
-                keep = spoken[k] and dense(k) < 0.5 and (close or alike) or kinds[k] == IS_TOP and not titled[best] and tags[first] not in HEADINGS
+                keep = (spoken[k] or quiet) and dense(k) < 0.5 and (close or alike) or 0 <= path and k < path and quiet and title[k] is not None and own[k] < 3 * LONG or kinds[k] == IS_TOP and not titled[best] and tags[first] not in HEADINGS
             else:
-                keep = dense(k) <= 0.5 and not rights and (spoken[k] or own[k] >= LEAST)
+                listed = title[k] is not None and any(SOURCES.match(t) for t in texts.get(title[k], ()))
+                keep = listed or dense(k) <= 0.5 and not rights and (spoken[k] or own[k] >= LEAST or k < path and title[k] is not None)
             if tag not in HEADINGS:
                 goes = keep
             if keep:
