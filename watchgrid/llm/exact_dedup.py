@@ -99,7 +99,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = materialize(exact_duplicates(keyed, keys=ROW, made=made).where("kept").select(*ROW), "stays")
     for done in made:
         drop(done)
-    return keyed.join(stays, list(ROW), "left_semi").drop(*ROW)
+    # the rows that stay are in proportion to the documents: a join by shuffle at every size
+    return keyed.join(stays.hint("merge"), list(ROW), "left_semi").drop(*ROW)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
