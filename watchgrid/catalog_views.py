@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchgrid.operators import aggregate, baseline, issues, lifecycle, store, tasks, views
+from watchgrid.operators import aggregate, baseline, issues, lifecycle, mining, ranks, store, tasks, views
 from watchgrid.register import RANK_NAME, query
 from watchgrid.schema import NOW, acknowledgements, alerts, level_rank, log_lines, now, observed, table
 from watchgrid.schema import tasks as test_windows
+from watchgrid.scratch import new_folder
 from watchgrid.sources import readers
 
 # The aggregated view
@@ -170,6 +173,47 @@ def metric_status(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.alert_status(points, learned, ["observer", "metric"], 1.0)
 
 
+@query(f", {POINTS} SELECT observer, metric, median(v) AS median FROM q GROUP BY 1, 2")
+def metric_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians of groups that are larger than any task's share."""
+    points = baseline.metric_points(observed(spark, sf))
+    return ranks.medians(points, ["observer", "metric"], "metric_value", small=50, bins=16)
+
+
+def mined(spark: SparkSession, sf: str, gap_seconds: float) -> tuple[mining.Store, datetime]:
+    """A store that has taken in all alerts in four periods, and its end."""
+    held = observed(spark, sf)
+    low, high = held.agg(F.min("ts"), F.max("ts")).first()
+    store, before = mining.Store(spark, new_folder(spark, "mined"), gap_seconds), None
+    step = (high - low) / 4
+    for k in range(4):
+        begin = low + k * step
+        end = low + (k + 1) * step if k < 3 else high + timedelta(days=1)
+        store.advance(held.where((F.col("ts") >= F.lit(begin)) & (F.col("ts") < F.lit(end))), end, before)
+        before = end
+    return store, before
+
+
+@query(f", {POINTS} SELECT array_id, observer, metric, count(*) AS n, round(median(v), 4) AS median, round(stddev_samp(v), 4) AS deviation FROM q GROUP BY 1, 2, 3 HAVING count(*) >= 3")
+def incremental_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    store, end = mined(spark, sf, 4 * 3600)
+    return store.baselines(end, 10_000).select("array_id", "observer", "metric", "n", F.round("median", 4).alias("median"), F.round("deviation", 4).alias("deviation"))
+
+
+@query(
+    """, o AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY array_id ORDER BY ts, id) <= 14400000000 THEN 0 ELSE 1 END AS b FROM observed),
+ep AS (SELECT *, sum(b) OVER (PARTITION BY array_id ORDER BY ts, id) AS episode FROM o),
+f AS (SELECT array_id, episode, observer, min((ts, id)) AS f FROM ep GROUP BY 1, 2, 3),
+pr AS (SELECT a.array_id, a.observer AS antecedent, b.observer AS consequent, (epoch_us(b.f[1]) - epoch_us(a.f[1])) AS lag_us FROM f a JOIN f b ON a.array_id = b.array_id AND a.episode = b.episode AND a.f < b.f),
+s AS (SELECT array_id, observer, count(*) AS episodes FROM f GROUP BY 1, 2)
+SELECT pr.array_id, antecedent, consequent, count(*) AS n, round(sum(lag_us) / count(*) / 1000000, 2) AS avg_lag_s, round(count(*) / any_value(episodes), 3) AS confidence
+FROM pr JOIN s ON s.array_id = pr.array_id AND observer = antecedent GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND count(*) / any_value(episodes) >= 0.15"""
+)
+def incremental_rules(spark: SparkSession, sf: str) -> DataFrame:
+    store, end = mined(spark, sf, 4 * 3600)
+    return store.rules(end, 10_000)
+
+
 # Timeline, search, personal views, users, tasks
 
 
@@ -178,9 +222,33 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
     return views.timeline(alerts(spark, sf), F.lit("2024-01-20").cast("timestamp_ntz"), ("click", "view"), 20, 20).select("id", "message", "ts", "total")
 
 
-@query("SELECT task_id, name, started_at FROM (SELECT * FROM tasks WHERE started_at <= TIMESTAMP '2024-01-18' ORDER BY started_at DESC, task_id DESC LIMIT 2) WHERE len(array_ids) = 0 OR list_contains(array_ids, 5)")
+ORDERED = "w AS (SELECT o_orderkey AS task_id, o_orderpriority AS name, CASE WHEN o_orderkey % 500 = 0 THEN [] ELSE [o_custkey % 97, o_custkey % 89] END AS array_ids, CAST(o_orderdate AS TIMESTAMP) AS started_at, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 40 AS INT)) END AS ended_at FROM orders)"
+
+
+def ordered_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """A test window for each order, most of them for two arrays, some for all, one in eleven still open."""
+    start, key = F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_orderkey")
+    arrays = F.when(key % 500 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("o_custkey") % 97, F.col("o_custkey") % 89).cast("array<bigint>"))
+    ended = F.when(key % 11 > 0, F.timestamp_add("DAY", (key % 40).cast("int"), start))
+    return table(spark, sf, "orders").select(key.alias("task_id"), F.col("o_orderpriority").alias("name"), F.lit("stress").alias("task_type"), arrays.alias("array_ids"), start.alias("started_at"), ended.alias("ended_at"))
+
+
+@query(f", {ORDERED} SELECT task_id, name, started_at FROM (SELECT * FROM w WHERE started_at <= TIMESTAMP '1996-01-18' ORDER BY started_at DESC, task_id DESC LIMIT 400) WHERE len(array_ids) = 0 OR list_contains(array_ids, 5)")
 def timeline_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return views.overlapping(test_windows(spark), 5, F.lit("2024-01-18").cast("timestamp_ntz"), 2).select("task_id", "name", "started_at")
+    return views.overlapping(ordered_windows(spark, sf), 5, F.lit("1996-01-18").cast("timestamp_ntz"), 400).select("task_id", "name", "started_at")
+
+
+@query(
+    f""", {ORDERED}, s AS (SELECT l_suppkey % 97 AS array_id, CAST(l_shipdate AS TIMESTAMP) AS ts, count(*) AS c FROM lineitem GROUP BY 1, 2),
+one AS (SELECT task_id, started_at, ended_at, unnest(list_distinct(array_ids)) AS array_id FROM w WHERE len(array_ids) > 0),
+m AS (SELECT task_id, c FROM one JOIN s ON one.array_id = s.array_id AND s.ts >= started_at AND (ended_at IS NULL OR s.ts <= ended_at)
+UNION ALL SELECT task_id, c FROM w JOIN s ON len(array_ids) = 0 AND s.ts >= started_at AND (ended_at IS NULL OR s.ts <= ended_at))
+SELECT task_id, CAST(sum(c) AS BIGINT) AS n FROM m GROUP BY 1"""
+)
+def overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Shipments in each order's window: as many windows as orders, all over each other."""
+    sent = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 97).alias("array_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("c"))
+    return tasks.within(sent, ordered_windows(spark, sf)).groupBy("task_id").agg(F.sum("c").alias("n"))
 
 
 @query("SELECT id, ts FROM alerts WHERE level = 'error' ORDER BY ts, id LIMIT 500")

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchgrid.schema import micros
+
+
+#: Lengths of the time cells that windows are cut into, in microseconds: an hour, and eight times more each.
+CELLS = tuple(3_600_000_000 * 8**k for k in range(5))
+
+
+def window_cells(start: Column, end: Column) -> Column:
+    """The cells (size, cell) of a window from start to end in microseconds: those wholly inside that no larger such
+    cell covers, and of the smallest those at its edges. There are some dozen of them, however long the window is
+    short of the largest cell."""
+    longs = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    first = lambda s: F.ceil(start / s).cast("long")
+    last = lambda s: (F.floor((end + 1) / s) - 1).cast("long")
+    out = []
+    for k, size in enumerate(CELLS):
+        low, high = first(size), last(size)
+        cells = longs(low, high)
+        if k + 1 < len(CELLS):
+            inner_low, inner_high = first(CELLS[k + 1]) * 8, last(CELLS[k + 1]) * 8 + 7
+            cells = F.when(inner_low <= inner_high, F.concat(longs(low, inner_low - 1), longs(inner_high + 1, high))).otherwise(cells)
+        if not k:
+            edges = F.array_distinct(F.array(F.floor(start / size).cast("long"), F.floor(end / size).cast("long")))
+            cells = F.concat(cells, F.filter(edges, lambda c: (c < low) | (c > high)))
+        out.append(sized(cells, size))
+    return F.concat(*out)
+
+
+def sized(cells: Column, size: int) -> Column:
+    return F.transform(cells, lambda c: F.struct(F.lit(size).alias("size"), c.alias("cell")))
+
 
 def within(alerts: DataFrame, tasks: DataFrame) -> DataFrame:
     """Each alert with each task whose window holds it and whose arrays, if any are named, hold its array.
 
-    Windows are cut into days and joined by day, so that a long list of tasks needs no pass over all alerts each.
-    A window that is still open runs to the last day of the alerts, which is looked up as one number.
+    Windows are cut into cells of several lengths, large ones inside and small ones at the edges, and joined to the
+    cells of each alert, by array too for windows that name arrays. Only alerts in an edge's cell are looked at in
+    vain, so the work follows the result, however many windows overlap. A window that is still open runs to the last
+    alert, which is looked up as one number.
     """
-    last = alerts.agg(F.max("ts").alias("t"))
-    day = lambda c: F.date_trunc("day", c)
-    open_end = F.coalesce(F.col("ended_at"), F.greatest(F.col("t"), F.col("started_at")))
-    days = tasks.join(F.broadcast(last)).withColumn("day", F.explode(F.sequence(day(F.col("started_at")), day(open_end), F.expr("interval 1 day")))).drop("t")
-    held = alerts.withColumn("day", day(F.col("ts"))).join(days, "day").drop("day")
+    last = alerts.agg(F.max("ts").alias("_last"))
+    end = F.coalesce(F.col("ended_at"), F.greatest("_last", "started_at"))
+    cut = tasks.join(F.broadcast(last)).where(F.col("started_at") <= end)
+    cut = cut.withColumn("_c", F.explode(window_cells(micros(F.col("started_at")), micros(end)))).drop("_last")
+    at = micros(F.col("ts"))
+    cells = F.array(*[F.struct(F.lit(s).alias("size"), F.floor(at / s).cast("long").alias("cell")) for s in CELLS])
+    held = alerts.withColumn("_c", F.explode(cells))
+    every = held.join(cut.where(F.size("array_ids") == 0), "_c")
+    named = held.join(cut.where(F.size("array_ids") > 0).withColumn("array_id", F.explode(F.array_distinct("array_ids"))), ["array_id", "_c"])
     inside = (F.col("ts") >= F.col("started_at")) & (F.col("ended_at").isNull() | (F.col("ts") <= F.col("ended_at")))
-    return held.where(inside & ((F.size("array_ids") == 0) | F.array_contains("array_ids", F.col("array_id"))))
+    columns = [*alerts.columns, *tasks.columns]
+    return every.select(columns).unionByName(named.select(columns)).where(inside)
 
 
 def summaries(alerts: DataFrame, tasks: DataFrame, expected: tuple[str, ...] = ()) -> DataFrame:
