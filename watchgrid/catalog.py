@@ -688,4 +688,4 @@ def issue_list(spark: SparkSession, sf: str) -> DataFrame:
     return reads.issue_list(issues, "O").select("id", "created_at")
 
 
-from watchgrid import catalog_observers, catalog_text, catalog_views  # noqa: E402, F401
+from watchgrid import catalog_hosts, catalog_observers, catalog_text, catalog_views  # noqa: E402, F401

@@ -68,11 +68,11 @@ def conditions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT id, CASE WHEN k % 6 = 0 THEN 'error' ELSE 'ok' END AS state, t AS template, n,
-CASE WHEN k % 6 = 0 THEN 'abnormal' WHEN t IN ('memory_use', 'cpu_load') THEN 'normal' WHEN t IN ('raid_health', 'disk_state') AND k % 2 = 1 THEN 'normal' ELSE 'abnormal' END AS verdict
-FROM (SELECT *, CASE t WHEN 'memory_use' THEN 2 WHEN 'cpu_load' THEN 0 WHEN 'service_state' THEN 0 WHEN 'raid_health' THEN CAST(k % 2 AS INT) ELSE CAST(k % 2 AS INT) END AS n FROM alerts, (VALUES ('disk_state'), ('raid_health'), ('service_state'), ('memory_use'), ('cpu_load')) x(t))"""
+CASE WHEN k % 6 = 0 THEN 'abnormal' WHEN t IN ('memory_use', 'cpu_load') THEN 'normal' WHEN t IN ('raid_health', 'disk_state', 'network') AND k % 2 = 1 THEN 'normal' ELSE 'abnormal' END AS verdict
+FROM (SELECT *, CASE t WHEN 'memory_use' THEN 2 WHEN 'cpu_load' THEN 0 WHEN 'service_state' THEN 0 WHEN 'raid_health' THEN CAST(k % 2 AS INT) ELSE CAST(k % 2 AS INT) END AS n FROM alerts, (VALUES ('disk_state'), ('raid_health'), ('service_state'), ('memory_use'), ('cpu_load'), ('network')) x(t))"""
 )
 def template_results(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.when(F.col("k") % 2 == 1, "md0 INACTIVE\nMem: 10 20").otherwise("fine\nMem: 10 20")
+    said = F.when(F.col("k") % 2 == 1, "md0 INACTIVE\nMem: 10 20\n1 received").otherwise("fine\nMem: 10 20")
     runs = alerts(spark, sf).select("id", F.when(F.col("k") % 6 == 0, -1).otherwise(0).alias("exit_code"), said.alias("stdout"), F.lit("").alias("stderr"))
     return templates.executed(runs, templates.BUILT_IN).select("id", "state", "template", F.size("found").alias("n"), "verdict")
 

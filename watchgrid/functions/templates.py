@@ -33,6 +33,7 @@ BUILT_IN = (
     Template("service_state", "valid_match", r"(?im)^active$"),
     Template("memory_use", "regex_extract", r"(?im)Mem:\s+(\d+)\s+(\d+)", 2, fields={"total_mb": r"(?im)Mem:\s+(\d+)", "used_mb": r"(?im)Mem:\s+\d+\s+(\d+)"}),
     Template("cpu_load", "regex_extract", r"(?im)load average:\s*([\d.]+)", 1, fields={"load_1": r"(?im)load average:\s*([\d.]+)", "load_5": r"(?im)load average:\s*[\d.]+,\s*([\d.]+)"}),
+    Template("network", "valid_match", r"(?im)1 (packets )?received|1 received"),
 )
 
 
