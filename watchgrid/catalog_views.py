@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchgrid.operators import aggregate, baseline, issues, lifecycle, mining, ranks, store, tasks, views
+from watchgrid.operators import aggregate, archives, baseline, issues, lifecycle, mining, ranks, store, tasks, views
 from watchgrid.register import RANK_NAME, query
 from watchgrid.schema import NOW, acknowledgements, alerts, level_rank, log_lines, now, observed, table
 from watchgrid.schema import tasks as test_windows
@@ -214,6 +214,18 @@ def incremental_rules(spark: SparkSession, sf: str) -> DataFrame:
     return store.rules(end, 10_000)
 
 
+@query(", a AS (SELECT *, strftime(ts, '%Y-%m') AS year_month FROM alerts WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AND array_id % 2 = 0) SELECT array_id, year_month, count(*) AS n, min(id) AS first_id, max(id) AS last_id, max(CASE WHEN id % 3 = 0 AND ts >= TIMESTAMP '2024-01-10' THEN 'second ' || message ELSE message END) AS message FROM a GROUP BY 1, 2")
+def archive_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts archived twice over part of the time, the second time with some of them changed: each counts once."""
+    held = alerts(spark, sf).where("array_id % 2 = 0").select("id", "array_id", "observer", "message", "ts")
+    again = held.where("ts >= timestamp_ntz'2024-01-10'").withColumn("message", F.when(F.col("id") % 3 == 0, F.concat(F.lit("second "), "message")).otherwise(F.col("message")))
+    kept = archives.Archive(spark, new_folder(spark, "archive"))
+    at = lambda day: F.lit(f"2024-01-{day}").cast("timestamp_ntz")
+    archives.move_to_archive(held, kept, new_folder(spark, "hot"), at(15), at("05"))
+    archives.move_to_archive(again, kept, new_folder(spark, "hot"), at(25), at("05"))
+    return kept.read().groupBy("array_id", "year_month").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("message").alias("message"))
+
+
 # Timeline, search, personal views, users, tasks
 
 

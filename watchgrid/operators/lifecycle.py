@@ -95,18 +95,6 @@ def archive(alerts: DataFrame, path: str) -> None:
     by_month(alerts).repartition("array_id", "year_month").write.mode("append").partitionBy("array_id", "year_month").parquet(path)
 
 
-def move_to_archive(hot: str, path: str, kept: str, active_from: Column, archive_from: Column, spark: SparkSession) -> None:
-    """Archive the alerts of the table at hot that are due, and write those that stay to kept.
-
-    Rows older than archive_from stay too: they are deleted by retention, not archived. The archive is written
-    first, so that a failure between the two leaves rows twice rather than nowhere; a rerun of a day is told apart
-    by reading the archive without the ids that hot still has.
-    """
-    rows = archive_split(spark.read.parquet(hot), active_from, archive_from)
-    archive(rows.where("place = 'archive'").drop("place", "year_month"), path)
-    rows.where("place <> 'archive'").drop("place", "year_month").write.mode("overwrite").parquet(kept)
-
-
 def archived(rows: DataFrame, array_ids: Sequence[int] = (), months: Sequence[str] = ()) -> DataFrame:
     """The archive's rows of arrays and months, newest first; both are partitions, so no other files are opened."""
     held = rows.where(F.col("array_id").isin(*array_ids)) if array_ids else rows
