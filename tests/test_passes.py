@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from watchgrid.functions import templates
 from watchgrid.functions import text as tx
-from watchgrid.operators import aggregate, detectors, episodes, issues, lifecycle, logs, ports, rules, views
+from watchgrid.operators import aggregate, detectors, episodes, issues, lifecycle, logs, passes, ports, rules, views
 from watchgrid.operators.passes import anchors, cooldown, gate, ordered_pass, throttle
 
 
@@ -33,8 +33,12 @@ def by_key(data):
     return [sorted(v) for v in keys.values()]
 
 
-@pytest.mark.parametrize("batch", [7, 10_000])
-def test_passes_by_brute_force(spark, random_rows, batch):
+@pytest.mark.parametrize(("batch", "size"), [(7, None), (10_000, None), (7, 20), (10_000, 60)])
+def test_passes_by_brute_force(spark, random_rows, monkeypatch, batch, size):
+    """The results of whole keys and of keys that are cut into slices of about size rows."""
+    if size:
+        monkeypatch.setattr(passes, "SLICE", size)
+        monkeypatch.setattr(passes, "UNIT", 5_000_000)
     data, df = random_rows
     anchor, sent, stuck, fired, sends = {}, set(), set(), set(), set()
     for moments in by_key(data):
