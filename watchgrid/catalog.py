@@ -649,9 +649,9 @@ def observer_settings(spark: SparkSession, sf: str) -> DataFrame:
     return reads.settings(rows).select("id", F.size("params").alias("n_params"), F.try_element_at("params", F.lit("k")).alias("k"))
 
 
-@query("SELECT k.alert_id, k.ack_type, a.level, c.c_name AS nickname FROM acks k JOIN alerts a ON a.id = k.alert_id LEFT JOIN customer c ON c.c_custkey = a.array_id")
+@query("SELECT k.alert_id, k.ack_type, a.level, CASE WHEN c.c_custkey % 3 = 0 THEN '10.0.0.' || c.c_custkey ELSE c.c_name END AS nickname FROM acks k JOIN alerts a ON a.id = k.alert_id LEFT JOIN customer c ON c.c_custkey = a.array_id")
 def ack_detail(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("array_id"), F.col("c_name").alias("nickname"))
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("array_id"), F.when(F.col("c_custkey") % 3 == 0, F.when(F.col("c_custkey") % 2 == 0, "  ")).otherwise(F.col("c_name")).alias("nickname"), F.concat(F.lit("10.0.0."), F.col("c_custkey").cast("string")).alias("ip"))
     return reads.ack_detail(acknowledgements(spark, sf), alerts(spark, sf), names).select("alert_id", "ack_type", "level", "nickname")
 
 

@@ -111,11 +111,24 @@ d AS (SELECT *, concat_ws('; ', CASE WHEN w < cw THEN 'width below capability' E
 e AS (SELECT *, lag(what) {OVER} AS before FROM d)"""
 
 
+def links_of(spark: SparkSession, sf: str) -> DataFrame:
+    speed = F.element_at(F.array(*[F.lit(x) for x in ("2.5GT/s", "5GT/s", "8.0GT/s", "Gen4", "32GT/s")]), (F.col("k") % 5 + 1).cast("int"))
+    return alerts(spark, sf).withColumns({"device": F.col("observer"), "width": F.when(F.col("k") % 4 == 0, "x8").otherwise("x16"), "cap_width": F.lit("x16"), "speed": speed, "cap_speed": F.when(F.col("k") % 7 == 0, "32GT/s").otherwise("2.5GT/s")})
+
+
 @query(f", {BAND} SELECT id, CASE WHEN what <> '' THEN 'alert' ELSE 'recovered' END AS event, what FROM e WHERE what <> '' OR coalesce(before, '') <> ''")
 def pcie_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
-    speed = F.element_at(F.array(*[F.lit(x) for x in ("2.5GT/s", "5GT/s", "8.0GT/s", "Gen4", "32GT/s")]), (F.col("k") % 5 + 1).cast("int"))
-    held = alerts(spark, sf).withColumns({"device": F.col("observer"), "width": F.when(F.col("k") % 4 == 0, "x8").otherwise("x16"), "cap_width": F.lit("x16"), "speed": speed, "cap_speed": F.when(F.col("k") % 7 == 0, "32GT/s").otherwise("2.5GT/s")})
-    return ports.bandwidth(held).select("id", "event", "what")
+    return ports.bandwidth(links_of(spark, sf)).select("id", "event", "what")
+
+
+@query(
+    f""", {BAND}, c AS (SELECT array_id, date_trunc('day', ts) AS cycle, flatten(list(CASE WHEN what = '' THEN [] ELSE list_transform(string_split(what, '; '), lambda x: observer || ' ' || x) END ORDER BY observer, ts, id)) AS d FROM d GROUP BY 1, 2),
+f AS (SELECT *, lag(len(d)) OVER (PARTITION BY array_id ORDER BY cycle) AS before FROM c) SELECT array_id, cycle, CASE WHEN len(d) > 0 THEN 'alert' ELSE 'recovered' END AS event, array_to_string(d, '; ') AS what FROM f WHERE len(d) > 0 OR before > 0"""
+)
+def pcie_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Downgrades of all of an array's devices, a day taken as one cycle."""
+    found = ports.bandwidth_cycles(links_of(spark, sf).withColumn("cycle", F.date_trunc("day", "ts").cast("timestamp_ntz")))
+    return found.select("array_id", "cycle", "event", F.array_join("downgrades", "; ").alias("what"))
 
 
 # Logs
@@ -157,16 +170,20 @@ def alarm_texts(spark: SparkSession, sf: str) -> DataFrame:
     return log_lines(spark, sf).withColumn("a", logs.alarm(F.col("line"))).where("a is not null").select("id", "a.alarm_type", "a.action", "a.alarm_id", "a.name")
 
 
+#: Lines of a log, which don't know the form in brackets.
+ALARM_LINES = ALARMS.replace("(5, 6, 7, 11))", "(5, 6, 7))")
+
+
 @query(
-    f""", {ALARMS}, r AS (SELECT *, CASE WHEN t = 0 THEN true ELSE alarm_id IS NOT NULL AND coalesce(max(CAST(t = 2 AS INT)) OVER (PARTITION BY array_id, alarm_id ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1 END AS recovered,
-count(*) FILTER (WHERE t = 1) OVER (PARTITION BY array_id) AS total_faults, count(*) FILTER (WHERE t = 2) OVER (PARTITION BY array_id) AS total_resumes FROM a),
-n AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY ts DESC, id DESC) AS rn FROM r WHERE t <> 2) SELECT id, alarm_id, recovered, total_faults, total_resumes FROM n WHERE rn <= 5"""
+    f""", {ALARM_LINES}, r AS (SELECT *, CASE WHEN t = 0 THEN true ELSE alarm_id IS NOT NULL AND coalesce(max(CAST(t = 2 AS INT)) OVER (PARTITION BY array_id, alarm_id ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1 END AS recovered,
+count(*) FILTER (WHERE t = 0) OVER (PARTITION BY array_id) AS total_events, count(*) FILTER (WHERE t = 1) OVER (PARTITION BY array_id) AS total_faults, count(*) FILTER (WHERE t = 2) OVER (PARTITION BY array_id) AS total_resumes FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY array_id ORDER BY ts DESC, id DESC) AS rn FROM r WHERE t <> 2) SELECT id, alarm_id, recovered, total_events, total_faults, total_resumes FROM n WHERE rn <= 5"""
 )
 def recent_alarms(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.alarms(log_lines(spark, sf), ["array_id"]).select("id", "alarm_id", "recovered", "total_faults", "total_resumes")
+    return logs.alarms(log_lines(spark, sf), ["array_id"]).select("id", "alarm_id", "recovered", "total_events", "total_faults", "total_resumes")
 
 
-@query(f", {ALARMS} SELECT array_id, alarm_id, arg_max(name, (ts, id)) AS name, max(ts) AS ts, arg_max(id, (ts, id)) AS id FROM a WHERE t IN (1, 2) AND alarm_id IS NOT NULL GROUP BY 1, 2 HAVING arg_max(t, (ts, id)) = 1")
+@query(f", {ALARM_LINES} SELECT array_id, alarm_id, arg_max(name, (ts, id)) AS name, max(ts) AS ts, arg_max(id, (ts, id)) AS id FROM a WHERE t IN (1, 2) AND alarm_id IS NOT NULL GROUP BY 1, 2 HAVING arg_max(t, (ts, id)) = 1")
 def active_alarms(spark: SparkSession, sf: str) -> DataFrame:
     return logs.active_alarms(log_lines(spark, sf), ["array_id"])
 

@@ -84,16 +84,26 @@ def recoveries(rows: DataFrame, by: Sequence[str], keyword: str = "recover chipe
     return held.withColumn("total", F.row_number().over(W.partitionBy(*by).orderBy("ts", "id"))).withColumn("at", stamp(F.col(line)))
 
 
+TYPED = r"(?i)AlarmType:(\d+)\s+(event|fault|resume)"
+
+
+def _typed(text: Column) -> Column:
+    some = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    return F.struct(F.regexp_extract(text, TYPED, 1).try_cast("int").alias("alarm_type"), F.lower(F.regexp_extract(text, TYPED, 2)).alias("action"), F.trim(some(r"(?i)AlarmId:(\S+)")).alias("alarm_id"), F.coalesce(F.trim(some(r"(?i)objType:(\S+)")), F.lit("unknown")).alias("name"))
+
+
+def alarm_line(text: Column) -> Column:
+    """The alarm that a log line tells of in the form "Type:N action"; null for none."""
+    return F.when(text.rlike(TYPED), _typed(text))
+
+
 def alarm(text: Column) -> Column:
-    """The alarm that a text tells of, in the form "Type:N action" or the older one in brackets; null for none."""
-    new = F.regexp_extract(text, r"(?i)AlarmType:(\d+)\s+(event|fault|resume)", 1)
-    action = F.lower(F.regexp_extract(text, r"(?i)AlarmType:(\d+)\s+(event|fault|resume)", 2))
+    """The alarm that a message tells of, as alarm_line() or in the older form in brackets; null for none."""
     some = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     kind, name = some(r"(?i)alarm\s*type\s*\((\d+)\)"), some(r"(?i)alarm\s*name\s*\(([^)]+)\)")
     said = F.when(text.rlike(r"(?i)resume\s+alarm"), "resume").when(text.rlike(r"(?i)send\s+alarm"), "fault")
-    first = F.struct(new.try_cast("int").alias("alarm_type"), action.alias("action"), F.trim(some(r"(?i)AlarmId:(\S+)")).alias("alarm_id"), F.coalesce(F.trim(some(r"(?i)objType:(\S+)")), F.lit("unknown")).alias("name"))
     second = F.struct(kind.try_cast("int").alias("alarm_type"), said.alias("action"), F.trim(some(r"(?i)alarm\s*id\s*\(([^)]+)\)")).alias("alarm_id"), F.coalesce(F.trim(name), F.lit("unknown")).alias("name"))
-    return F.when(new != "", first).when(kind.isNotNull() | name.isNotNull(), second)
+    return F.when(text.rlike(TYPED), _typed(text)).when(kind.isNotNull() | name.isNotNull(), second)
 
 
 def alarms(rows: DataFrame, by: Sequence[str], line: str = "line", recent: int = 5) -> DataFrame:
@@ -102,7 +112,7 @@ def alarms(rows: DataFrame, by: Sequence[str], line: str = "line", recent: int =
     An event needs no recovery. A fault has recovered if a resume of its alarm id follows; as long as none does it
     is active. total_events, total_faults and total_resumes count all lines of the key.
     """
-    held = rows.withColumn("a", alarm(F.col(line))).where("a.alarm_type in (0, 1, 2)").select(*by, "ts", "id", "a.*")
+    held = rows.withColumn("a", alarm_line(F.col(line))).where("a.alarm_type in (0, 1, 2)").select(*by, "ts", "id", "a.*")
     order = W.partitionBy(*by, "alarm_id").orderBy("ts", "id").rowsBetween(1, W.unboundedFollowing)
     resumed = F.col("alarm_id").isNotNull() & (F.max((F.col("alarm_type") == 2).cast("int")).over(order) == 1)
     held = held.withColumn("recovered", F.when(F.col("alarm_type") == 0, True).otherwise(F.coalesce(resumed, F.lit(False))))
@@ -114,7 +124,7 @@ def alarms(rows: DataFrame, by: Sequence[str], line: str = "line", recent: int =
 
 def active_alarms(rows: DataFrame, by: Sequence[str], line: str = "line") -> DataFrame:
     """Alarms whose last fault no resume follows, one row for each key and alarm id."""
-    held = rows.withColumn("a", alarm(F.col(line))).where("a.alarm_type in (1, 2) and a.alarm_id is not null").select(*by, "ts", "id", "a.*")
+    held = rows.withColumn("a", alarm_line(F.col(line))).where("a.alarm_type in (1, 2) and a.alarm_id is not null").select(*by, "ts", "id", "a.*")
     last = held.groupBy(*by, "alarm_id").agg(F.max_by(F.struct("alarm_type", "name", "ts", "id"), F.struct("ts", "id")).alias("l"))
     return last.where("l.alarm_type = 1").select(*by, "alarm_id", "l.name", "l.ts", "l.id")
 

@@ -119,11 +119,9 @@ def speed_rank(text: Column) -> Column:
     return F.coalesce(out, F.lit(0))
 
 
-def bandwidth(links: DataFrame, by: Sequence[str] = ("array_id", "device")) -> DataFrame:
-    """Downgrades of links against what they can do and against the reading before, and a recovery after either.
-
-    links has by, ts, id, width, speed, cap_width and cap_speed. event is alert or recovered; what lists the kinds.
-    """
+def downgrades(links: DataFrame, by: Sequence[str] = ("array_id", "device")) -> DataFrame:
+    """links (by, ts, id, width, speed, cap_width, cap_speed) with kinds, an array of what each reading fell short of:
+    what the link can do, or the reading before."""
     order = ordered(by)
     held = links.withColumns({"w": width_of(F.col("width")), "cw": width_of(F.col("cap_width")), "s": speed_rank(F.col("speed")), "cs": speed_rank(F.col("cap_speed"))})
     held = held.withColumns({"ow": F.lag("w").over(order), "os": F.lag("s").over(order), "old_speed": F.lag("speed").over(order)})
@@ -132,6 +130,21 @@ def bandwidth(links: DataFrame, by: Sequence[str] = ("array_id", "device")) -> D
         F.when(both("w", "cw"), "width below capability"), F.when(both("s", "cs"), "speed below capability"), F.when(both("w", "ow"), "width fell"),
         F.when((F.coalesce("old_speed", F.lit("")) != "") & (F.col("speed") != "") & (F.col("s") < F.col("os")), "speed fell"),
     )
-    held = held.withColumn("kinds", F.array_compact(kinds))
-    event = F.when(F.size("kinds") > 0, "alert").when(F.lag(F.size("kinds")).over(order) > 0, "recovered")
-    return held.withColumn("event", event).where("event is not null").withColumn("what", F.array_join("kinds", "; ")).drop("w", "cw", "s", "cs", "ow", "os", "old_speed", "kinds")
+    return held.withColumn("kinds", F.array_compact(kinds)).drop("w", "cw", "s", "cs", "ow", "os", "old_speed")
+
+
+def bandwidth(links: DataFrame, by: Sequence[str] = ("array_id", "device")) -> DataFrame:
+    """Readings with downgrades, and the first without after them, by device. event is alert or recovered; what lists
+    the kinds."""
+    event = F.when(F.size("kinds") > 0, "alert").when(F.lag(F.size("kinds")).over(ordered(by)) > 0, "recovered")
+    return downgrades(links, by).withColumn("event", event).where("event is not null").withColumn("what", F.array_join("kinds", "; ")).drop("kinds")
+
+
+def bandwidth_cycles(links: DataFrame, array: str = "array_id", device: str = "device", cycle: str = "cycle") -> DataFrame:
+    """Cycles of an array's links that alert, with all downgrades of the cycle; the first in which no device falls short
+    has recovered."""
+    said = F.transform("kinds", lambda k: F.concat(F.col(device), F.lit(" "), k))
+    each = downgrades(links, (array, device)).groupBy(array, cycle).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(device, "ts", "id", said.alias("said")))), lambda x: x["said"])).alias("downgrades"))
+    before = F.lag(F.size("downgrades")).over(W.partitionBy(array).orderBy(cycle))
+    event = F.when(F.size("downgrades") > 0, "alert").when(before > 0, "recovered")
+    return each.withColumn("event", event).where("event is not null")

@@ -14,13 +14,14 @@ from watchgrid.operators.store import page
 def lock_check(requested: DataFrame, windows: DataFrame, at: Column) -> DataFrame:
     """Each requested array with the first test window that holds it at a moment; it is available without one.
 
-    A window without arrays holds all of them: its key is null, and each request asks for null as well.
+    A window without arrays holds all of them: the first such window is one number, which goes with every request.
     """
     held = windows.where((F.col("started_at") <= at) & (F.col("ended_at").isNull() | (F.col("ended_at") > at)))
-    locks = held.select("task_id", F.explode_outer("array_ids").alias("key"))
-    asked = requested.select("array_id").distinct().withColumn("want", F.explode(F.array("array_id", F.lit(None))))
-    found = asked.join(locks, asked["want"].eqNullSafe(locks["key"]), "left").groupBy("array_id").agg(F.min("task_id").alias("task_id"))
-    return found.withColumn("available", F.col("task_id").isNull())
+    first = F.min("task_id").alias("task_id")
+    named = held.select("task_id", F.explode("array_ids").alias("array_id")).groupBy("array_id").agg(first)
+    every = held.where(F.coalesce(F.size("array_ids") <= 0, F.lit(True))).agg(F.min("task_id").alias("_all"))
+    found = requested.select("array_id").distinct().join(named, "array_id", "left").join(F.broadcast(every))
+    return found.select("array_id", F.least("task_id", "_all").alias("task_id")).withColumn("available", F.col("task_id").isNull())
 
 
 def on_page(visits: DataFrame, name: str, at: Column, age: str) -> DataFrame:
@@ -76,8 +77,9 @@ def settings(rows: DataFrame, params: str = "params") -> DataFrame:
 
 
 def ack_detail(acks: DataFrame, alerts: DataFrame, names: DataFrame) -> DataFrame:
-    """Acknowledgements with their alert and the nickname of the array's owner, if there is one."""
-    return acks.join(alerts.withColumnRenamed("id", "alert_id"), "alert_id").join(names, "array_id", "left")
+    """Acknowledgements with their alert and the nickname of the array's owner, if there is one; a blank one is the ip."""
+    shown = names.withColumn("nickname", F.coalesce(F.nullif(F.trim("nickname"), F.lit("")), "ip"))
+    return acks.join(alerts.withColumnRenamed("id", "alert_id"), "alert_id").join(shown, "array_id", "left")
 
 
 def evidence(probes: DataFrame) -> DataFrame:
