@@ -9,7 +9,7 @@ from watchgrid.operators.archives import Archive, move_to_archive
 
 
 def alerts(spark, ids, said="a"):
-    rows = spark.createDataFrame([(i, i % 3, f"{said}{i}") for i in ids], "id long, array_id long, message string")
+    rows = spark.createDataFrame([(i, i % 3 or None, f"{said}{i}") for i in ids], "id long, array_id long, message string")
     return rows.withColumn("ts", F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")))
 
 
