@@ -173,3 +173,13 @@ UNION ALL SELECT o.category, o.place, o.id, CASE WHEN o.ts - g.sent >= INTERVAL
 def sensitive_cooled(spark: SparkSession, sf: str) -> DataFrame:
     found = alerts(spark, sf).where("k % 12 in (9, 10, 11)").withColumn("category", F.col("k") % 3)
     return detectors.cooled(found, ["category"], 3 * 3600).select("id")
+
+
+@query("SELECT id, CAST(k AS VARCHAR) AS used, CASE WHEN k % 2 = 0 THEN 'x' || id END AS tabbed, CASE WHEN k % 3 = 0 THEN 'no json' END AS raw, CASE WHEN k % 3 > 0 THEN CAST(k AS VARCHAR) END AS member, k || chr(9) || 'y' AS whole FROM alerts")
+def parsed_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Output of commands as key and value lines, as JSON and as it is."""
+    k = F.col("k").cast("string")
+    lines = F.concat(F.lit("used = "), k, F.when(F.col("k") % 2 == 0, F.concat(F.lit("\nname\tx"), F.col("id").cast("string"))).otherwise(""))
+    json = F.when(F.col("k") % 3 == 0, " no json ").otherwise(F.concat(F.lit('{"k": '), k, F.lit("}")))
+    some, other, all_ = tx.parsed(lines, "key_value"), tx.parsed(json, "json"), tx.parsed(F.concat(k, F.lit("\ty ")), "raw")
+    return alerts(spark, sf).select("id", some["used"].alias("used"), some["name"].alias("tabbed"), other["raw"].alias("raw"), other["k"].alias("member"), all_["raw"].alias("whole"))

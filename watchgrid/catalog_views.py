@@ -341,6 +341,27 @@ def users_online(spark: SparkSession, sf: str) -> DataFrame:
     return views.online(sessions_of(spark, sf), presence, now(), 5).select("ip", "nickname", "page")
 
 
+@query(f", {SESSIONS} SELECT count(*) AS users, count(DISTINCT CASE WHEN trim(nickname) = '' THEN s.ip ELSE nickname END) AS names FROM s WHERE active AND c_custkey % 11 <= 5")
+def users_online_count(spark: SparkSession, sf: str) -> DataFrame:
+    presence = alerts(spark, sf).select(F.concat(F.lit("10.0.0."), F.col("array_id").cast("string")).alias("ip"), F.col("observer").alias("page"), "ts", "id")
+    return views.online(sessions_of(spark, sf), presence, now(), 5).agg(F.count("*").alias("users"), F.count_distinct("nickname").alias("names"))
+
+
+@query(
+    f""", a AS (SELECT strftime(ts, '%Y-%m-%d') AS file, date_trunc('second', ts) AS t, observer, message, id FROM alerts),
+h AS (SELECT DISTINCT t, observer, message FROM a WHERE id % 5 = 0), d AS (SELECT t, observer, message, min(file) AS file FROM a ANTI JOIN h USING (t, observer, message) GROUP BY 1, 2, 3)
+SELECT mode, file, count(*) AS n FROM d, (VALUES ('full'), ('incremental'), ('selective')) m(mode) WHERE mode = 'full' OR mode = 'incremental' AND t >= TIMESTAMP '{NOW}' - INTERVAL 12 DAY OR mode = 'selective' AND file IN ('2024-01-03', '2024-01-11') GROUP BY 1, 2"""
+)
+def import_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of a day each, imported in three ways over alerts of which one in five is there; each line comes twice."""
+    held = alerts(spark, sf).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("observer").alias("observer_name"), F.upper("level").alias("level"), "message"))
+    lines = held.select(F.date_format("ts", "yyyy-MM-dd").alias("file"), line.alias("value"))
+    lines, known = lines.union(lines), held.where("id % 5 = 0")
+    modes = [readers.imported_alerts(lines, known, mode, now(), 12, ("2024-01-03", "2024-01-11")).groupBy("file").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "file", "n") for mode in readers.IMPORTS]
+    return modes[0].union(modes[1]).union(modes[2])
+
+
 @query(f", {SESSIONS} SELECT CASE WHEN nickname = 'Customer#000000007' THEN '10.0.0.2' ELSE ip END AS ip, nickname, seen_at FROM s WHERE c_custkey <> 2 OR NOT EXISTS (SELECT 1 FROM s x WHERE x.nickname = 'Customer#000000007')")
 def nickname_claim(spark: SparkSession, sf: str) -> DataFrame:
     return views.claimed(sessions_of(spark, sf), "10.0.0.2", "Customer#000000007").select("ip", "nickname", "seen_at")

@@ -174,6 +174,18 @@ def pairs(text: Column, separators: str = "=:") -> Column:
     return F.map_from_entries(last)
 
 
+def parsed(text: Column, kind: str) -> Column:
+    """A command's output as a map: json by its members, key_value by lines split at =, : or tab, else raw as a whole.
+
+    What should be JSON and isn't is raw too.
+    """
+    body = F.trim(text)
+    raw = F.create_map(F.lit("raw"), body)
+    if kind == "json":
+        return F.coalesce(F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "map<string,string>"), raw)
+    return pairs(body, "=:\t") if kind == "key_value" else raw
+
+
 def fields(text: Column, patterns: dict[str, str], groups: int = 1) -> Column:
     """All matches of each named pattern, as a map of lists."""
     return F.map_from_arrays(F.array(*[F.lit(n) for n in patterns]), F.array(*[find_all(text, p, groups) for p in patterns.values()]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from watchgrid.schema import LEVELS
 ALERT = "timestamp string, observer_name string, level string, message string, details string"
 
 
-def parsed_alerts(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Rows of a JSONL alert log with ok = false for lines that are no record.
+def parsed_alerts(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a JSONL alert log with ok = false for lines that are no record, and the columns to keep.
 
     Levels go to lower case, an unknown one to info; a Z behind a time is dropped.
     """
@@ -20,7 +22,7 @@ def parsed_alerts(lines: DataFrame, line: str = "value") -> DataFrame:
     level = F.lower(j["level"])
     stamp = F.regexp_replace(j["timestamp"], "Z$", "").try_cast("timestamp_ntz")
     return lines.select(
-        (stamp.isNotNull() & j["observer_name"].isNotNull()).alias("ok"), stamp.alias("ts"), j["observer_name"].alias("observer"),
+        *keep, (stamp.isNotNull() & j["observer_name"].isNotNull()).alias("ok"), stamp.alias("ts"), j["observer_name"].alias("observer"),
         F.when(level.isin(*LEVELS), level).otherwise("info").alias("level"), j["message"].alias("message"), j["details"].alias("details"),
     )
 
@@ -33,6 +35,26 @@ def read_alert_log(spark: SparkSession, path: str, since_days: int | None = None
     return parsed_alerts(reader.text(path)).where("ok").drop("ok")
 
 
+IMPORTS = ("full", "incremental", "selective")
+
+
+def imported_alerts(lines: DataFrame, held: DataFrame, mode: str, at: Column, days: int = 7, files: Sequence[str] = (), file: str = "file", line: str = "value") -> DataFrame:
+    """Alerts of log lines that an import takes in, with their file: of equal ones the one of the first file, and none
+    that held (ts, observer, message) has already.
+
+    full takes all lines, incremental those not older than so many days before at, selective those of the files named.
+    """
+    if mode not in IMPORTS:
+        raise ValueError(f"unknown mode: {mode}")
+    some = lines.where(F.col(file).isin(*files)) if mode == "selective" else lines
+    rows = parsed_alerts(some, line, (file,)).where("ok").drop("ok")
+    rows = rows.where(F.col("ts") >= at - F.expr(f"interval {int(days)} days")) if mode == "incremental" else rows
+    key = F.md5(F.concat_ws("|", F.col("ts").cast("string"), "observer", F.coalesce("message", F.lit(""))))
+    others = [c for c in rows.columns if c != file]
+    first = rows.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(file, *others), file).alias("r"))
+    return first.join(held.select(key.alias("_key")).distinct(), "_key", "left_anti").select("r.*")
+
+
 def parsed_traffic(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Traffic records with their defaults, and the columns to keep; records without a time go."""
     j = F.from_json(F.col(line), "timestamp string, port string, tx_bytes bigint, rx_bytes bigint, tx_rate double, rx_rate double, mode string, protocol string")
