@@ -14,7 +14,7 @@ doc_id is there; a component of null ids only has a null component_id. Extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +61,13 @@ def fingerprint_of(texts: pa.Array) -> pa.Array:
     return pa.array(np.array(got, np.uint64).view(np.int64))
 
 
-def linked(codes: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(codes: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, depth: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of codes within BUDGET bits, found by walking the node pairs ([a0,a1), [b0,b1)) down together.
 
     A node is a range of sorted codes that share their first depth bits; a pair of equal ranges is a node with
     itself. Where the levels left can't exceed the budget any more, the two ranges are linked through their
-    first member, which joins all of them without all pairs.
+    first member, which joins all of them without all pairs. With wanted, a test of pairs, there are no such
+    short cuts: every pair within the budget that passes it is given.
     """
     us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     ones: dict[int, np.ndarray] = {}
@@ -81,10 +82,18 @@ def linked(codes: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         u, v = a0[leaf], b0[leaf]
         near = np.bitwise_count(codes[u] ^ codes[v]) <= BUDGET
+        if wanted is not None:
+            near &= wanted(u, v)
         us.append(u[near])
         vs.append(v[near])
         whole = ~leaf & (dist + (BITS - depth) <= BUDGET)
         for k in np.flatnonzero(whole):
+            if wanted is not None:
+                u, v = (x.ravel() for x in np.meshgrid(np.arange(a0[k], a1[k]), np.arange(b0[k], b1[k])))
+                some = wanted(u, v) & ((u < v) | (a0[k] != b0[k]))
+                us.append(u[some])
+                vs.append(v[some])
+                continue
             members = np.r_[a0[k] : a1[k], b0[k] : b1[k]]
             us.append(np.full(len(members), a0[k]))
             vs.append(members)
@@ -124,7 +133,9 @@ def roots_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (unit, side, code, fp), sorted, to edges (u, v) between fingerprints; a unit's rows stand together.
 
-    A unit is a pair of nodes: rows of side 0 and of side 1; with side 0 alone, a node with itself.
+    A unit is a pair of nodes: rows of side 0 and of side 1; with side 0 alone, a node with itself. Edges join a
+    unit's fingerprints as trees; where rows have a group, every pair of two groups is given instead, a null group
+    being none of the others.
     """
     held: list[pa.RecordBatch] = []
 
@@ -138,7 +149,12 @@ def block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = mid == end
         some = own & (end - cut > 1) | (cut < mid) & (mid < end)
         cut, mid, end, own = cut[some], mid[some], end[some], own[some]
-        u, v = linked(code.view(np.uint64), cut, mid, np.where(own, cut, mid), end, BLOCK)
+        nodes = (code.view(np.uint64), cut, mid, np.where(own, cut, mid), end, BLOCK)
+        if "group" in rows.column_names:
+            none, group = (pc.is_null(rows["group"]).to_numpy(), pc.fill_null(rows["group"], 0).to_numpy())
+            u, v = linked(*nodes, lambda u, v: (group[u] != group[v]) | none[u] | none[v])
+            return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
+        u, v = linked(*nodes)
         root = roots_of(len(fp), u, v)
         child = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], ["u", "v"])
@@ -188,15 +204,28 @@ def split_heavy(units: DataFrame, heavy: int = HEAVY) -> DataFrame:
         level += 4
 
 
-def links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """Edges (u, v) that join every two of the distinct fingerprints fp that lie within BUDGET bits of each other."""
+def blocks(prints: DataFrame, heavy: int) -> DataFrame:
+    """Units of the four tries of the distinct fingerprints fp."""
     turned = [F.struct(F.lit(k).alias("k"), (F.shiftleft("fp", BLOCK * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - BLOCK * k)) if k else F.col("fp")).alias("code")) for k in range(BITS // BLOCK)]
     tries = prints.select("fp", F.explode(F.array(*turned)).alias("t"))
     units = tries.select(F.concat_ws("-", F.col("t.k").cast("string"), F.shiftrightunsigned("t.code", BITS - BLOCK).cast("string")).alias("unit"), F.lit(0).alias("side"), F.col("t.code").alias("code"), "fp", F.lit(0).alias("dist"))
-    units = split_heavy(units, heavy)
+    return split_heavy(units, heavy)
+
+
+def links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Edges (u, v) that join every two of the distinct fingerprints fp that lie within BUDGET bits of each other."""
+    units = blocks(prints, heavy)
     return units.repartition("unit").sortWithinPartitions("unit", "side", "code").select("unit", "side", "code", "fp").mapInArrow(block_edges, "u long, v long")
 
 
+def pairs_apart(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """All pairs (u, v) within BUDGET bits of the distinct fingerprints fp whose groups differ, each once; a null group
+    differs from any."""
+    units = blocks(prints, heavy).join(prints.select("fp", "group"), "fp")
+    found = units.repartition("unit").sortWithinPartitions("unit", "side", "code").select("unit", "side", "code", "fp", "group").mapInArrow(block_edges, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def components(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint in prints (doc_id, fp): the smallest doc_id reachable.
 

@@ -159,13 +159,32 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     rest = pairs.select("u", "v").join(best, ["u", "v"], "left_anti")
     rest = rest.join(root("u"), "u", "left").join(root("v"), "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)").select("u", "v")
     rest = materialize(rest, "rest")
-    for done in (pairs, best, roots):
+    for done in (pairs, roots):
         drop(done)
     more = similar(rest, docs, places)
-    found = materialize(edges.union(more), "links")
-    for done in (rest, edges, more):
+    found = materialize(edges.union(more), "joined")
+    missed = materialize(unjoined(sets, found).join(best.union(rest), ["u", "v"], "left_anti"), "missed")
+    last = similar(missed, docs, places)
+    out = materialize(found.union(last), "links")
+    for done in (best, rest, edges, more, found, missed, last):
         drop(done)
-    return found
+    return out
+
+
+def unjoined(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (u, v) of signs whose fingerprints are within operator 1's three bits and that edges don't join.
+
+    Operator 1 links fingerprints as trees, so of three that are near each other it gives two pairs. Those suffice for
+    its own components, but here a pair counts only if its sets are similar, and the third pair may be the one that is.
+    """
+    roots = connected_components(edges).withColumnRenamed("node", "sign")
+    named = materialize(sets.select("sign", "fp", "n").join(roots, "sign", "left").select("sign", "fp", "n", F.coalesce("root", "sign").alias("root")), "named")
+    prints = materialize(named.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("group")), "groups")
+    near = simhash.pairs_apart(prints).union(prints.where("group is null").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    end = lambda c: named.select(F.col("fp").alias(c), F.struct("sign", "n", "root").alias(f"{c}_end"))
+    both = near.join(end("u"), "u").join(end("v"), "v").where("u_end.root <> v_end.root and (u <> v or u_end.sign < v_end.sign)")
+    both = both.where("5 * least(u_end.n, v_end.n) >= 4 * greatest(u_end.n, v_end.n)")
+    return both.select(F.col("u_end.sign").alias("u"), F.col("v_end.sign").alias("v"))
 
 
 def components(docs: DataFrame) -> DataFrame:
