@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchgrid.operators.passes import anchors, ordered_pass
-from watchgrid.schema import LEVELS, level_rank, micros
+from watchgrid.schema import LEVELS, level_rank, micros, once
+from watchgrid.scratch import written
 
 
 def storms(alerts: DataFrame, seconds: int = 60, threshold: int = 20, by: str = "array_id") -> DataFrame:
@@ -84,7 +85,7 @@ def caused(alerts: DataFrame, causes: Sequence[Cause] = CAUSES) -> DataFrame:
         ours = F.col("observer").isin(*c.observers)
         rule = F.when(ours, c.name).otherwise(rule)
         key = F.when(ours, c.key(F.col("details"), F.col("message"))).otherwise(key)
-    return alerts.withColumn("rule", rule).withColumn("key", key).where("key is not null and ts is not null")
+    return once(alerts.withColumn("rule", rule).withColumn("key", key), "rule", "key").where("key is not null and ts is not null")
 
 
 def root_causes(alerts: DataFrame, seconds: float = 30, causes: Sequence[Cause] = CAUSES) -> DataFrame:
@@ -168,9 +169,10 @@ def aggregated(alerts: DataFrame, storm_seconds: float = 60, storm_size: int = 2
 def members(alerts: DataFrame, cause_seconds: float = 30, merge_seconds: float = 10, causes: Sequence[Cause] = CAUSES) -> DataFrame:
     """alerts, each once, with what takes it: kind root_cause with its key, or time_window with its anchor."""
     held = alerts.select("id", "array_id", "observer", "ts", "level", "message", "details")
-    groups = root_causes(alerts, cause_seconds, causes).select("rule", "key")
+    groups = written(root_causes(alerts, cause_seconds, causes).select("rule", "key"), "groups")
     taken = caused(held, causes).join(groups, ["rule", "key"])
-    rest = held.join(taken.select("id"), "id", "left_anti")
+    # read by the pass twice, and once more for alerts without a time
+    rest = written(held.select("id", "array_id", "observer", "ts", "level").join(taken.select("id"), "id", "left_anti"), "rest")
     none = lambda kind: F.lit(None).cast(kind)
     shape = ["kind", "key", "array_id", "observer", "anchor", "id", "ts", "level"]
     a = taken.select("id", "ts", "level", "key", F.lit("root_cause").alias("kind"), none("bigint").alias("array_id"), none("string").alias("observer"), none("bigint").alias("anchor"))
