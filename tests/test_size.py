@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from watchgrid.operators import aggregate
+from watchgrid.operators import aggregate, baseline, logs, mining
 from watchgrid.schema import log_lines, observed
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +24,20 @@ def test_a_condition_makes_no_text_anew(spark):
     lines = log_lines(spark, SF).where(F.col("line").rlike("sig") & F.col("line").contains("k"))
     assert plan(lines).count("get_json_object(props") == 1
     assert plan(held.where("observer = 'card_info' and message like '%1%' and details like '%2%'")).count("get_json_object(props") == 1
+
+
+def test_values_are_looked_for_once_a_line(spark):
+    """The list of values was made once more in the condition that it isn't empty."""
+    texts = ["PASSWORD=Abcdef9", "pwd: Qwerty12 token=abc123x", "1.2.3.4; Admin, x", "password=***", "nothing", None, "API_KEY=zzzz9999 nqn.2014-08.org:x", "enter password: secret=abc12345"]
+    found = logs.sensitive(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, line string"))
+    assert plan(found).count("passwd\\s*[=:]\\s*['") == 1
+    assert sorted((r.id, r.pattern) for r in found.collect()) == [(0, 0), (1, 2), (1, 4), (2, 8), (6, 5), (6, 6)]
+
+
+def test_a_period_reads_its_alerts_once_for_each_kind(spark, monkeypatch, tmp_path):
+    """Episodes were split once for those still open, and twice more for those that are not."""
+    assert plan(baseline.metric_points(observed(spark, SF))).count("current_rss_mb, ") <= 1
+    runs, split = [], mining.episodes.split
+    monkeypatch.setattr(mining.episodes, "split", lambda *a, **k: runs.append(1) or split(*a, **k))
+    mining.Store(spark, str(tmp_path / "store")).advance(observed(spark, SF).where("array_id < 3"), datetime(2024, 3, 1))
+    assert len(runs) == 1
