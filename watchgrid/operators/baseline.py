@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from watchgrid.schema import once
 
 #: Numbers that a disk's first item may have.
 DISK_FIELDS = ("reallocated_sectors", "current_pending", "offline_uncorrectable", "value")
@@ -40,7 +41,8 @@ def metrics(observer: Column, details: Column) -> Column:
 
 def metric_points(alerts: DataFrame) -> DataFrame:
     """A row for each metric of each alert, with its name and value."""
-    return alerts.select("*", F.explode(metrics(F.col("observer"), F.col("details"))).alias("metric", "metric_value"))
+    held = once(alerts.withColumn("_m", metrics(F.col("observer"), F.col("details"))), "_m")
+    return held.select(*alerts.columns, F.explode("_m").alias("metric", "metric_value"))
 
 
 def learn(points: DataFrame, by: list[str], value: str = "value", least: int = 3) -> DataFrame:

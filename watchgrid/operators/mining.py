@@ -13,10 +13,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchgrid.operators import baseline, episodes, ranks
-from watchgrid.schema import micros
+from watchgrid.schema import micros, once
+from watchgrid.scratch import written
 
 BY = ["array_id", "observer", "metric"]
 
@@ -37,15 +39,20 @@ def learned(partials: DataFrame, by: list[str] = BY, least: int = 3, small: int
 def episode_counts(alerts: DataFrame, gap_seconds: float, by: str = "array_id") -> DataFrame:
     """by, day, antecedent, consequent, n and lag_us of the pairs of alerts' episodes; consequent null counts the
     episodes that hold the antecedent. The day is that of an episode's last alert."""
-    held = episodes.split(alerts, gap_seconds, by)
-    day = held.groupBy(by, "episode").agg(F.to_date(F.max("ts")).alias("day"))
-    first = episodes.firsts(held, by).join(day, [by, "episode"])
-    single = first.groupBy(by, "day", F.col("observer").alias("antecedent"), F.lit(None).cast("string").alias("consequent")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("lag_us"))
-    each = first.groupBy(by, "episode", "day").agg(F.array_sort(F.collect_list(F.struct("place", "ts", "observer"))).alias("o"))
-    pair = each.select(by, "day", "o", F.explode("o").alias("a")).select(by, "day", "a", F.explode(F.slice("o", F.col("a.place") + 1, F.size("o"))).alias("b"))
-    lag = micros(F.col("b.ts")) - micros(F.col("a.ts"))
-    double = pair.groupBy(by, "day", F.col("a.observer").alias("antecedent"), F.col("b.observer").alias("consequent")).agg(F.count("*").alias("n"), F.sum(lag).alias("lag_us"))
-    return single.unionByName(double)
+    return counted(episodes.split(alerts, gap_seconds, by), by)
+
+
+def counted(split: DataFrame, by: str = "array_id") -> DataFrame:
+    """episode_counts() of alerts with their episode. An episode's observers are put in order in one array, which stays
+    within their number, and each goes alone and with those after it."""
+    first = split.groupBy(by, "episode", "observer").agg(F.min(F.struct("ts", "id")).alias("f"), F.max("ts").alias("last"))
+    row = F.struct(F.col("f.ts").alias("ts"), F.col("f.id").alias("id"), "observer", micros(F.col("f.ts")).alias("us"))
+    each = first.groupBy(by, "episode").agg(F.to_date(F.max("last")).alias("day"), F.array_sort(F.collect_list(row)).alias("o"))
+    said = lambda a, b, lag: F.struct(a["observer"].alias("antecedent"), b.cast("string").alias("consequent"), lag.cast("long").alias("lag"))
+    single = F.transform("o", lambda a: said(a, F.lit(None), F.lit(0)))
+    double = F.flatten(F.transform("o", lambda a, i: F.transform(F.slice("o", i + 2, F.size("o")), lambda b: said(a, b["observer"], b["us"] - a["us"]))))
+    held = once(each.select(by, "day", F.concat(single, double).alias("p")), "p").select(by, "day", F.explode("p").alias("p"))
+    return held.groupBy(by, "day", "p.antecedent", "p.consequent").agg(F.count("*").alias("n"), F.sum("p.lag").alias("lag_us"))
 
 
 def rules(partials: DataFrame, min_count: int = 2, min_confidence: float = 0.15, by: str = "array_id") -> DataFrame:
@@ -74,11 +81,11 @@ class Store:
             held = held.unionByName(self.spark.read.parquet(self._name("open", before)))
         last = F.lit(end).cast("timestamp_ntz")
         # an episode is open if an alert at the period's end would still belong to it
-        split = episodes.split(held, self.gap)
-        ends = split.groupBy("array_id", "episode").agg((micros(last) - micros(F.max("ts")) <= int(self.gap * 1_000_000)).alias("open"))
-        split = split.join(ends, ["array_id", "episode"])
+        until = F.max("ts").over(W.partitionBy("array_id", "episode"))
+        split = episodes.split(held, self.gap).withColumn("open", micros(last) - micros(until) <= int(self.gap * 1_000_000))
+        split = written(split, "split")
         split.where("open").select("array_id", "observer", "ts", "id").write.mode("overwrite").parquet(self._name("open", end))
-        episode_counts(split.where("not open").select("array_id", "observer", "ts", "id"), self.gap).write.mode("overwrite").parquet(self._name("episodes", end))
+        counted(split.where("not open")).write.mode("overwrite").parquet(self._name("episodes", end))
 
     def _days(self, kind: str, end: datetime, days: int) -> DataFrame:
         runs = self.spark.read.parquet(f"{self.path}/{kind}").where(F.col("run").cast("string") <= f"{end:%Y%m%d%H%M%S}")
