@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from watchgrid.operators import aggregate, baseline, logs, mining
+from watchgrid.operators import aggregate, baseline, logs, mining, tasks
 from watchgrid.schema import log_lines, observed
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,17 @@ def test_a_period_reads_its_alerts_once_for_each_kind(spark, monkeypatch, tmp_pa
     monkeypatch.setattr(mining.episodes, "split", lambda *a, **k: runs.append(1) or split(*a, **k))
     mining.Store(spark, str(tmp_path / "store")).advance(observed(spark, SF).where("array_id < 3"), datetime(2024, 3, 1))
     assert len(runs) == 1
+
+
+def test_sums_of_windows_are_those_of_the_join(spark):
+    rng, base = random.Random(3), datetime(2024, 1, 1)
+    at = lambda h: None if h is None else base + timedelta(hours=h)
+    alerts = [(rng.choice([0, 1, 2, None]), at(rng.choice([rng.uniform(-50, 900), rng.randrange(900)])), rng.randrange(1, 5)) for _ in range(300)] + [(1, None, 7)]
+    spans = [(rng.choice([rng.uniform(-600, 1000), rng.randrange(900)]), rng.choice([-2, 0, 1, 7.5, 64, 512, 3000, None])) for _ in range(150)]
+    windows = [(k, rng.choice([[], [1], [1, 1, 2], [0, None], [9]]), at(s), at(None if h is None else s + h)) for k, (s, h) in enumerate(spans)]
+    frame = spark.createDataFrame(alerts, "array_id long, ts timestamp_ntz, c long")
+    held = spark.createDataFrame(windows, "task_id long, array_ids array<bigint>, started_at timestamp_ntz, ended_at timestamp_ntz")
+    want = tasks.within(frame, held).groupBy("task_id").agg(F.sum("c").alias("n"))
+    for size in (tasks.CELLS[0], tasks.CELLS[3]):
+        got = tasks.summed(frame, held, "c", size)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchgrid.schema import micros
+from watchgrid.scratch import written
 
 
 #: Lengths of the time cells that windows are cut into, in microseconds: an hour, and eight times more each.
@@ -59,6 +61,32 @@ def within(alerts: DataFrame, tasks: DataFrame) -> DataFrame:
     return every.select(columns).unionByName(named.select(columns)).where(inside)
 
 
+def summed(alerts: DataFrame, tasks: DataFrame, n: str, slice_us: int = CELLS[3]) -> DataFrame:
+    """task_id and n, the sum of n over the alerts that within() gives a task; tasks without alerts are left out.
+
+    No alert meets a window: what an array's alerts come to before the window's end, less what they come to before its
+    start, is looked up. Such sums run within slices of time, and each slice begins with the sum of those before it. A
+    window without arrays is looked up among the alerts of all arrays. n must not be negative, as counts are not.
+    """
+    last = alerts.agg(F.max("ts").alias("_last"))
+    end = F.coalesce(F.col("ended_at"), F.greatest("_last", "started_at"))
+    cut = tasks.join(F.broadcast(last)).where(F.col("started_at") <= end)
+    every = F.size("array_ids") == 0
+    arrays = F.when(every, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_compact(F.array_distinct("array_ids")))
+    marks = F.array(F.struct(micros(F.col("started_at")).alias("at"), F.lit(-1).alias("sign")), F.struct((micros(end) + 1).alias("at"), F.lit(1).alias("sign"))).cast("array<struct<at:bigint,sign:int>>")
+    looked = cut.select("task_id", every.alias("every"), F.explode(arrays).alias("array_id"), marks.alias("m")).select("task_id", "every", "array_id", F.inline("m"))
+    key = ["every", "array_id"]
+    own = alerts.where("array_id is not null and ts is not null").select(F.lit(False).alias("every"), F.col("array_id").cast("bigint").alias("array_id"), micros(F.col("ts")).alias("at"), F.col(n).alias("n"))
+    of_all = alerts.where("ts is not null").select(F.lit(True).alias("every"), F.lit(0).cast("bigint").alias("array_id"), micros(F.col("ts")).alias("at"), F.col(n).alias("n"))
+    points = looked.select(*key, "at", F.lit(0).cast("bigint").alias("n")).unionByName(own).unionByName(of_all)
+    points = written(points.groupBy(*key, "at").agg(F.sum("n").alias("n")).withColumn("slice", F.expr(f"at div {int(slice_us)}")), "points")
+    past = lambda by, order: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begun = points.groupBy(*key, "slice").agg(F.sum("n").alias("n")).select(*key, "slice", past(key, "slice").alias("begun"))
+    sums = points.select(*key, "slice", "at", past([*key, "slice"], "at").alias("within")).join(begun, [*key, "slice"])
+    sums = sums.select(*key, "at", (F.col("begun") + F.col("within")).alias("before"))
+    return looked.join(sums, [*key, "at"]).groupBy("task_id").agg(F.sum(F.col("sign") * F.col("before")).alias("n")).where("n > 0")
+
+
 def summaries(alerts: DataFrame, tasks: DataFrame, expected: tuple[str, ...] = ()) -> DataFrame:
     """For each task its alerts by level, those of observers it expects, and its length; tasks without alerts too."""
     count = lambda c, name: F.count_if(c).alias(name)
