@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from watchgrid.operators import aggregate, baseline, logs, mining, tasks
+from watchgrid.operators import aggregate, archives, baseline, logs, mining, tasks
 from watchgrid.schema import log_lines, observed
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,12 @@ def test_sums_of_windows_are_those_of_the_join(spark):
     for size in (tasks.CELLS[0], tasks.CELLS[3]):
         got = tasks.summed(frame, held, "c", size)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+
+
+def test_an_archive_has_no_folder_for_each_array(spark, tmp_path):
+    rows = spark.range(600).select("id", (F.col("id") % 300).alias("array_id"), F.lit("m").alias("message"), F.lit("2024-01-05").cast("timestamp_ntz").alias("ts"))
+    held = archives.Archive(spark, str(tmp_path / "archive"))
+    held.merge(rows)
+    assert 0 < len(list((tmp_path / "archive" / "versions").rglob("year_month=*"))) <= archives.BUCKETS
+    held.merge(rows.where("array_id = 7").withColumn("message", F.lit("n")))
+    assert held.read().count() == 600 and {(r.id, r.message) for r in held.read([7]).collect()} == {(7, "n"), (307, "n")}
