@@ -320,7 +320,7 @@ def memory_leak(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(", r AS (SELECT *, sum(value) OVER (PARTITION BY array_id ORDER BY ts, id) AS total, sum(value) FILTER (WHERE observer = 'click') OVER (PARTITION BY array_id ORDER BY ts, id) AS idle FROM alerts), d AS (SELECT id, total - lag(total) OVER w AS t, coalesce(idle, 0) - lag(coalesce(idle, 0)) OVER w AS i FROM r WINDOW w AS (PARTITION BY array_id ORDER BY ts, id)) SELECT id, round(CASE WHEN t > 0 THEN greatest(0, least(100, 100 * (t - i) / t)) END, 2) AS usage FROM d")
 def cpu_usage(spark: SparkSession, sf: str) -> DataFrame:
-    order = W.partitionBy("array_id").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("array_id").orderBy("ts", "id").rangeBetween(W.unboundedPreceding, W.currentRow)
     held = alerts(spark, sf).withColumn("total", F.sum("value").over(order)).withColumn("idle", F.coalesce(F.sum(F.when(F.col("observer") == "click", F.col("value"))).over(order), F.lit(0.0)))
     return held.select("id", F.round(detectors.cpu_usage(F.col("total"), F.col("idle"), ["array_id"]), 2).alias("usage"))
 
