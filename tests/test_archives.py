@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from watchgrid import catalog
 from watchgrid.operators.archives import Archive, move_to_archive
 
 
@@ -55,3 +56,11 @@ def test_two_writers_and_the_hot_table(spark, tmp_path):
     # a writer that died as it published left an empty file: it says nothing and its number is not used again
     (tmp_path / "archive" / "published" / f"{number:012d}").touch()
     assert archive.newest() == (number + 1, version)
+
+
+def test_the_query_counts_each_alert(spark):
+    """Alerts of every other array, and those before and after the days archived, were left out."""
+    folder = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{folder}/events.parquet").groupBy("user_id").count().collect()
+    rows = catalog.QUERIES["archive_merge"](spark, folder).groupBy("array_id").agg(F.sum("n").alias("n")).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and any(r.array_id % 2 for r in rows)
